@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import hashing
 from gleaner.functions.dates import NO_DATE, day_key, wall_time
+from gleaner.operators.numbering import number_rows
 from gleaner.session import cut_lineage
 
 
@@ -267,37 +268,8 @@ def keepers(grouped: DataFrame) -> DataFrame:
 
 
 def dense_group_ids(grouped: DataFrame) -> DataFrame:
-    """(dup_group, group_no): consecutive numbers in order of the group's smallest id.
-
-    Numbers come from range partitions plus a prefix sum of their sizes, not from one sorted task.
-    """
-    return consecutive(grouped.select("dup_group").distinct(), ["dup_group"], "group_no")
-
-
-def consecutive(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Adds 1..n in the given order without pulling all rows into one partition."""
-    from pyspark.sql import Window
-
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = cut_lineage(
-        df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
-    )
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row per partition: this window is over at most as many rows as there are partitions.
-    before = sizes.select(
-        "_part",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return (
-        spread.withColumn("_local", local)
-        .join(F.broadcast(before), "_part")
-        .withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .drop("_part", "_local", "_before")
-    )
+    """(dup_group, group_no): consecutive numbers in order of the group's smallest id."""
+    return number_rows(grouped.select("dup_group").distinct(), ["dup_group"], "group_no")
 
 
 def stage_summary(kept: DataFrame) -> DataFrame:
