@@ -141,9 +141,9 @@ SAMPLE_CTE = ORDER_CTE + "," + budget_sql("SELECT chapter, count(*) AS n FROM st
     WHERE NOT p.must AND round_even(slot * (p.n - p.m) / (p.k - p.m), 0) <= p.place - 1
       AND p.place - 1 < round_even((slot + 1) * (p.n - p.m) / (p.k - p.m), 0)) s ON true
 ), best AS (
-  SELECT asset_id, chapter, story_order, story_group, w, h FROM slotted WHERE k >= n OR (must AND place <= k)
+  SELECT asset_id, chapter, story_order, story_group, w, h, best_datetime FROM slotted WHERE k >= n OR (must AND place <= k)
   UNION ALL
-  SELECT asset_id, chapter, story_order, story_group, w, h FROM slotted WHERE k < n AND NOT must AND k > m
+  SELECT asset_id, chapter, story_order, story_group, w, h, best_datetime FROM slotted WHERE k < n AND NOT must AND k > m
   QUALIFY row_number() OVER (PARTITION BY chapter, slot ORDER BY is_hero DESC, favorited DESC, coalesce(score, 0) DESC, w * h DESC, place) = 1
 )"""
 
