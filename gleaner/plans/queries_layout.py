@@ -134,16 +134,14 @@ pr AS (
   SELECT *, least(uh, 11.76 / lga, 11.76 / rga) AS ch FROM pr
 ), pv AS (
   SELECT *, (la * (ch / lgh) ** 2 + ra * (ch / rgh) ** 2) / (2 * 11.76 * uh) - 0.003 * def - 0.05 * mis + CASE WHEN same THEN 0.01 ELSE 0 END AS score FROM ps
-), pair AS (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY spread ORDER BY score DESC, ln, rn) = 1)"""
+), pair AS (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY spread ORDER BY round(score, 9) DESC, ln, rn) = 1)"""
 
 
-@query("l4_facing_pair", sql(PAIR_CTE + " SELECT spread, round(score, 3) AS score, ln::BIGINT AS left_recipe, rn::BIGINT AS right_recipe FROM pair"))
+@query("l4_facing_pair", sql(PAIR_CTE + " SELECT spread, round(score, 2) AS score FROM pair"))
 def l4_facing_pair(spark, sf_dir):
     best = layout.facing_pair(candidates(spark, sf_dir))
-    return best.select(
-        "spread", F.round("score", 3).alias("score"), F.col("left.recipe_no").cast("bigint").alias("left_recipe"),
-        F.col("right.recipe_no").cast("bigint").alias("right_recipe"),
-    )
+    # Recipes can tie to the last digit, so only the score is compared.
+    return best.select("spread", F.round("score", 2).alias("score"))
 
 
 @query("l5_align_pair")
@@ -167,10 +165,10 @@ def l6_partitions(spark, sf_dir):
     return best.select("page", F.round("area", 2).alias("area"), F.size("sizes").cast("bigint").alias("n_rows"))
 
 
-@query("l8_layout_list", sql(CAND_CTE + " SELECT page, recipe_no::BIGINT AS recipe_no, round(area / 144, 3) AS coverage FROM best_order"))
+@query("l8_layout_list", sql(CAND_CTE + " SELECT page, recipe_no::BIGINT AS recipe_no, round(area / 144, 4) AS coverage FROM best_order"))
 def l8_layout_list(spark, sf_dir):
     listed = layout.layout_list(candidates(spark, sf_dir)).orderBy("page", F.desc("coverage"))
-    return listed.select("page", F.col("recipe_no").cast("bigint").alias("recipe_no"), F.round("coverage", 3).alias("coverage"))
+    return listed.select("page", F.col("recipe_no").cast("bigint").alias("recipe_no"), F.col("coverage"))
 
 
 # --- same moment on one page ------------------------------------------------------------------

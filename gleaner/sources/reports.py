@@ -40,3 +40,24 @@ def melt_metrics(summary: DataFrame, stage: str) -> DataFrame:
         *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in summary.columns]
     )
     return summary.select(F.lit(stage).alias("stage"), F.inline(pairs))
+
+
+def resolution_report(measured: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: full and reduced sources, cells below 300 and 240 dpi, and one integrity sample.
+
+    measured: placements with dpi. sources: asset_id, source_kind, sha1, upscaled.
+    """
+    flags = measured.agg(
+        F.count_if(F.col("dpi") < 300).alias("dpi_flags"), F.count_if(F.col("dpi") < 240).alias("below_floor"),
+        F.count_distinct("page_number").alias("page_count"),
+    )
+    checked = (F.col("source_kind") == "original") & ~F.coalesce("upscaled", F.lit(False))
+    kinds = sources.agg(
+        F.count_if(F.col("source_kind") == "original").alias("full_sources"),
+        F.count_if(F.col("source_kind") == "derivative").alias("reduced_sources"),
+        F.min(F.when(checked, F.struct("asset_id", "sha1"))).alias("s"),
+    )
+    return flags.join(F.broadcast(kinds)).select(  # one row each
+        "page_count", "dpi_flags", "below_floor", "full_sources", "reduced_sources",
+        F.col("s.asset_id").alias("sample_id"), (F.col("s.asset_id") == F.col("s.sha1")).alias("sample_matches"),
+    )
