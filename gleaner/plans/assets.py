@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Chapter, ChapterStory, Config, DedupConfig, QualityConfig, ScoreConfig
 from gleaner.functions import hashing
-from gleaner.session import spread_scan
+from gleaner.session import cut_lineage, spread_scan
 
 CHAPTERS = (
     Chapter("01_early", "2024-01-03", "2024-01-09", "Early"),
@@ -130,6 +130,12 @@ def asset_view(spark: SparkSession, sf_dir: str, signals: bool = False) -> DataF
     ).withColumn("is_hero", F.coalesce("hero_flag", F.lit(False))).drop("hero_flag")
 
 
+def signal_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with fingerprints and metrics, computed once and stored, as the asset table keeps them.
+    For queries that read it more than once."""
+    return cut_lineage(asset_view(spark, sf_dir, signals=True))
+
+
 def _chapter(ts: Column) -> Column:
     day = F.date_format(ts, "yyyy-MM-dd")
     first, second, third = (c.end for c in CHAPTERS[:3])

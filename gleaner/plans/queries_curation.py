@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates, flags, text
 from gleaner.operators import chapters, quality, scoring
-from gleaner.plans.assets import CHAPTERS, CONFIG, asset_view, sql, table
+from gleaner.plans.assets import CHAPTERS, CONFIG, asset_view, signal_view, sql, table
 from gleaner.plans.queries_neardup import PRIORITY_CTE, priority_dim
 from gleaner.plans.registry import query
 
@@ -40,7 +40,7 @@ SELECT src, samples, round(threshold, 6) AS threshold FROM limits""", signals=Tr
 def a2_source_percentile(spark, sf_dir):
     q = CONFIG.quality
     found = quality.group_percentile(
-        asset_view(spark, sf_dir, signals=True), "src", "blur_var", q.blur_percentile, q.min_samples
+        signal_view(spark, sf_dir), "src", "blur_var", q.blur_percentile, q.min_samples
     )
     return found.select("src", "samples", F.round("threshold", 6).alias("threshold"))
 
@@ -54,7 +54,7 @@ def a2_price_percentile(spark, sf_dir):
 
 
 def gated(spark, sf_dir):
-    return quality.gate(asset_view(spark, sf_dir, signals=True), CONFIG.quality)
+    return quality.gate(signal_view(spark, sf_dir), CONFIG.quality)
 
 
 @query("p10_quality_flags", sql(GATE_CTE + " SELECT * FROM passed", signals=True))
@@ -154,7 +154,7 @@ SCORED_CTE = ELIGIBLE_CTE + """, peers AS (
 
 
 def pool(spark, sf_dir):
-    rows = asset_view(spark, sf_dir, signals=True).drop("score").withColumn("arrival", F.col("doc_id"))
+    rows = signal_view(spark, sf_dir).drop("score").withColumn("arrival", F.col("doc_id"))
     return scoring.eligible(rows)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import hashing
 from gleaner.operators import moments, neardup
-from gleaner.plans.assets import CONFIG, asset_view, sql, table
+from gleaner.plans.assets import CONFIG, asset_view, signal_view, sql, table
 from gleaner.plans.registry import query
 from gleaner.session import cut_lineage, dimension
 
@@ -67,7 +67,7 @@ def priority_dim(spark):
 
 
 def grouped_assets(spark, sf_dir):
-    assets = asset_view(spark, sf_dir, signals=True)
+    assets = signal_view(spark, sf_dir)
     groups = neardup.duplicate_groups(assets, CONFIG.dedup.max_distance, CONFIG.dedup.window_days)
     facts = assets.select("asset_id", "src", "w", "h", "bytes").join(priority_dim(spark), "src", "left")
     return neardup.keepers(facts.join(groups, "asset_id"))
@@ -143,7 +143,7 @@ FROM (SELECT fp.*, doc_id FROM fp JOIN docs USING (asset_id)) a
 LEFT JOIN (SELECT fp.*, doc_id FROM fp JOIN docs USING (asset_id)) b ON b.doc_id = a.doc_id + 1""", signals=True),
 )
 def p4_hamming64(spark, sf_dir):
-    a = asset_view(spark, sf_dir, signals=True).select("asset_id", "doc_id", "phash")
+    a = signal_view(spark, sf_dir).select("asset_id", "doc_id", "phash")
     b = a.select(F.col("asset_id").alias("next_id"), (F.col("doc_id") - 1).alias("doc_id"), F.col("phash").alias("other"))
     return a.join(b, "doc_id", "left").select(
         "asset_id", "next_id", hashing.hamming_or_far(F.col("phash"), F.col("other")).cast("bigint").alias("distance")
@@ -182,7 +182,7 @@ SELECT a.node AS src, b.node AS dst, ({NEAR})::BIGINT AS distance
 FROM one a JOIN one b ON a.node < b.node AND {NEAR} <= 6""", signals=True),
 )
 def j3_dup_edges_all(spark, sf_dir):
-    assets = asset_view(spark, sf_dir, signals=True)
+    assets = signal_view(spark, sf_dir)
     return _edge_columns(neardup.all_edges(assets, CONFIG.dedup.max_distance))
 
 
@@ -191,7 +191,7 @@ def j3_dup_edges_all(spark, sf_dir):
     sql(FULL_GROUPS + " SELECT asset_id, dup_group FROM groups", signals=True, recursive=True),
 )
 def a4_connected_components(spark, sf_dir):
-    assets = asset_view(spark, sf_dir, signals=True)
+    assets = signal_view(spark, sf_dir)
     return neardup.duplicate_groups(assets, CONFIG.dedup.max_distance, CONFIG.dedup.window_days)
 
 
@@ -296,4 +296,4 @@ edges AS (
         + COMPONENTS_CTE + " SELECT id AS asset_id, component AS cluster FROM comp", signals=True, recursive=True),
 )
 def a4_moment_clusters(spark, sf_dir):
-    return moments.moment_clusters(asset_view(spark, sf_dir, signals=True), CONFIG.dedup.max_distance)
+    return moments.moment_clusters(signal_view(spark, sf_dir), CONFIG.dedup.max_distance)

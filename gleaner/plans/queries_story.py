@@ -12,6 +12,7 @@ from gleaner.operators import pagination, story
 from gleaner.plans.assets import CHAPTERS, CONFIG, asset_view, sql, table
 from gleaner.plans.registry import query
 from gleaner.operators.chapters import chapter_dim
+from gleaner.session import cut_lineage
 
 WINDOWS = {c.id: (c.start, c.end) for c in CHAPTERS if c.id != "04_family"}
 
@@ -57,10 +58,9 @@ def accepted(spark, sf_dir):
     return asset_view(spark, sf_dir).where("review_status = 'accept'")
 
 
-def tables(spark, sf_dir):
+def tables(spark, rows):
     """Configured settings; the heroes of the first chapter are its pins."""
-    rows = accepted(spark, sf_dir).where("is_hero AND chapter = '01_early'")
-    pins = rows.select(
+    pins = rows.where("is_hero AND chapter = '01_early'").select(
         "chapter", "asset_id",
         (F.row_number().over(Window.partitionBy("chapter").orderBy("asset_id")) - 1).alias("pin_no"),
         F.lit("pinned").alias("pin_group"),
@@ -69,11 +69,11 @@ def tables(spark, sf_dir):
 
 
 def storied(spark, sf_dir):
-    rows = accepted(spark, sf_dir).select(
+    rows = cut_lineage(accepted(spark, sf_dir).select(
         "asset_id", "chapter", "event", "tags", "is_hero", "favorited", "score", "w", "h", "best_datetime",
         "date_source", "date_confidence", "src", "caption", "orig_path",
-    )
-    return story.story_order(rows, tables(spark, sf_dir))
+    ))
+    return story.story_order(rows, tables(spark, rows))
 
 
 @query("p13_clamped_sort_date", sql(GROUPS_CTE + " SELECT asset_id, clamped FROM g1"))
@@ -95,7 +95,8 @@ def j13_alias_lookup(spark, sf_dir):
 
 @query("w9_story_group", sql(GROUPS_CTE + " SELECT asset_id, story_group, kind::BIGINT AS kind FROM g1"))
 def w9_story_group(spark, sf_dir):
-    return story.story_groups(accepted(spark, sf_dir), tables(spark, sf_dir)).select(
+    rows = accepted(spark, sf_dir)
+    return story.story_groups(rows, tables(spark, rows)).select(
         "asset_id", "story_group", F.col("group_class.kind").cast("bigint").alias("kind")
     )
 
@@ -149,8 +150,6 @@ SAMPLE_CTE = ORDER_CTE + "," + budget_sql("SELECT chapter, count(*) AS n FROM st
 
 
 def sampled(spark, sf_dir):
-    from gleaner.session import cut_lineage
-
     rows = cut_lineage(storied(spark, sf_dir))
     targets = story.budgets(rows.groupBy("chapter").agg(F.count("*").alias("n")), 240)
     return story.even_sample(rows, targets)
@@ -204,7 +203,7 @@ book AS (SELECT p.*, start + spread_no AS spread, ordinal, (start + spread_no) *
 
 
 def book_pages(spark, sf_dir):
-    placed = pagination.place_on_spreads(sampled(spark, sf_dir))
+    placed = pagination.place_on_spreads(cut_lineage(sampled(spark, sf_dir)))
     pages = pagination.assign_pages(placed, pagination.story_aware_left(placed))
     return pagination.number_spreads(pages, chapter_dim(spark, CHAPTERS))
 
