@@ -62,23 +62,32 @@ def leak_scan(texts: DataFrame, blocklist: Blocklist = Blocklist()) -> DataFrame
     ).where("h IS NOT NULL").select("path", F.lit(0).cast("bigint").alias("line"), "h.*")
     lines = texts.where(~denied & ~binary).select(
         "path", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("at", "s")
+    ).where("s <> ''")
+    s, low = F.col("s"), F.lower("s")
+    none = F.array().cast("array<string>")
+    # A plain substring test first: most lines never reach the patterns.
+    every = lambda pattern, group=0, hint=None: (
+        F.regexp_extract_all(s, F.lit(pattern), F.lit(group)) if hint is None
+        else F.when(hint, F.regexp_extract_all(s, F.lit(pattern), F.lit(group))).otherwise(none)
     )
-    s = F.col("s")
-    every = lambda pattern, group=0: F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
+    path_like = low.contains("/home/") | low.contains("/users/") | (low.contains("c:") & low.contains("users"))
     rules = [
-        _hits("EMAIL", F.filter(every(EMAIL), lambda m: ~F.lower(m).rlike(f"({_any_of(OK_DOMAINS)})$"))),
-        _hits("ID", F.filter(every(HEX40), lambda m: ~m.rlike(PADDED_ID))),
-        _hits("HOME", F.filter(every(HOME_PATH, 1), lambda m: ~F.rtrim(F.lower(m), F.lit(".")).isin(*OK_USERS))),
+        _hits("EMAIL", F.filter(every(EMAIL, hint=s.contains("@")), lambda m: ~F.lower(m).rlike(f"({_any_of(OK_DOMAINS)})$"))),
+        _hits("ID", F.filter(every(HEX40, hint=s.rlike("[0-9a-f]{40}")), lambda m: ~m.rlike(PADDED_ID))),
+        _hits("HOME", F.filter(every(HOME_PATH, 1, path_like), lambda m: ~F.rtrim(F.lower(m), F.lit(".")).isin(*OK_USERS))),
     ]
-    advisory = F.filter(every(ISO_DATE), lambda m: ~m.isin(*blocklist.known_dates, *blocklist.dates, ""))
+    advisory = F.filter(every(ISO_DATE, hint=s.rlike("[0-9]-[0-9]{2}-[0-9]")), lambda m: ~m.isin(*blocklist.known_dates, *blocklist.dates, ""))
     rules.append(_hits("DATE", advisory))
     for token in blocklist.strings:
-        found = F.lower(s).contains(token.lower())
+        found = low.contains(token.lower())
         rules.append(F.when(found, F.array(F.struct(F.lit("STRING").alias("rule"), F.lit(token).alias("match")))).otherwise(
             F.array().cast("array<struct<rule:string,match:string>>")))
     if blocklist.names:
         credit = F.col("path").isin(*ATTRIBUTION_FILES) & F.lower(s).contains("copyright")
-        named = every(f"(?i)(?<![a-z])({_any_of(blocklist.names)})(?![a-z])")
+        hint = F.lit(False)
+        for token in blocklist.names:
+            hint = hint | low.contains(token.lower())
+        named = every(f"(?i)(?<![a-z])({_any_of(blocklist.names)})(?![a-z])", hint=hint)
         rules.append(_hits("NAME", F.when(credit, F.array().cast("array<string>")).otherwise(named)))
     if blocklist.dates:
         rules.append(_hits("PERSONAL_DATE", every(_any_of(blocklist.dates))))
@@ -129,8 +138,11 @@ def verify_export(accepted: DataFrame, exported: DataFrame, manifest: DataFrame,
     matched = match_by_prefix(exported, accepted)
     known = matched.where("asset_id IS NOT NULL")
     one = lambda df, c="n": df.agg(F.count("*").alias(c))
+    sides = one(exported, "e").unionByName(one(accepted, "a"), allowMissingColumns=True).unionByName(
+        one(manifest, "m"), allowMissingColumns=True
+    )
     counts = (
-        one(exported, "e").join(F.broadcast(one(accepted, "a"))).join(F.broadcast(one(manifest, "m")))  # one row each
+        sides.agg(*[F.max(c).alias(c) for c in "eam"])
         .select(
             F.lit("counts").alias("check"),
             ((F.col("e") == F.col("a")) & (F.col("a") == F.col("m"))).alias("passed"),

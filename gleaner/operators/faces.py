@@ -48,10 +48,10 @@ def gutter_scan(boxes: DataFrame) -> DataFrame:
 
     boxes: page_no, x, w in page pixels. Even pages are versos, with the gutter on the right.
     """
-    last = boxes.agg(F.max("page_no").alias("_last"))
+    last = boxes.agg(F.max("page_no").alias("page_no"))
     verso = F.col("page_no") % 2 == 0
     distance = F.when(verso, F.lit(DOC_PX - BLEED_PX) - (F.col("x") + F.col("w"))).otherwise(F.col("x") - BLEED_PX)
-    designed = boxes.join(F.broadcast(last)).where((F.col("page_no") >= 2) & (F.col("page_no") < F.col("_last")))  # one row
+    designed = boxes.where(F.col("page_no") >= 2).join(last, "page_no", "left_anti")
     return (
         designed.withColumn("distance", distance)
         .where(F.col("distance") < round(GUTTER_IN * PRINT_DPI))

@@ -16,6 +16,9 @@ from gleaner.operators.numbering import number_rows
 from gleaner.session import cut_lineage
 
 
+UNDATED = -(10**9)  # day number of the pool of rows without a date
+
+
 def fingerprint_nodes(assets: DataFrame) -> DataFrame:
     """One row per (phash, day): representative id and the time bounds the window join needs.
 
@@ -80,17 +83,14 @@ def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = 2) -> Dat
                     .when(F.col("before_middle").isNotNull(), F.array(F.lit(0), F.lit(1), F.lit(2)))
                     .otherwise(F.array(F.lit(0), F.lit(1))))
         .select("node", "phash", F.explode("steps").alias("step"), "day", "date")
-        .withColumn(
-            "pool_day",
-            F.when(F.col("date").isNull(), F.lit(NO_DATE))
-            .otherwise(F.date_add(F.col("date"), F.col("step")).cast("string")),
-        )
+        .withColumn("pool_day", F.coalesce(F.unix_date("date") + F.col("step"), F.lit(UNDATED)))
     )
     left = _keyed(forward.select("node", "phash", "step", "pool_day"), distance, equal_blocks).alias("a")
-    right = _keyed(nodes.select("node", "phash", "day"), distance, equal_blocks).alias("b")
+    own_day = F.coalesce(F.unix_date(day), F.lit(UNDATED)).alias("pool_day")
+    right = _keyed(nodes.select("node", "phash", own_day), distance, equal_blocks).alias("b")
     joined = left.join(
         right,
-        (F.col("a.pool_day") == F.col("b.day"))
+        (F.col("a.pool_day") == F.col("b.pool_day"))
         & (F.col("a.chosen") == F.col("b.chosen"))
         & (F.col("a.key") == F.col("b.key"))
         & ((F.col("a.step") > 0) | (F.col("a.node") < F.col("b.node")))

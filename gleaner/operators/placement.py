@@ -86,11 +86,13 @@ def distribution(values: DataFrame, value: str) -> DataFrame:
     spread = cut_lineage(counted.repartitionByRange(parts, "v").withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy("_part").agg(F.sum("c").alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    total = sizes.agg(F.sum("_n").alias("n"))
+    before = sizes.select(
+        "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("n"),
+    )
     inside = Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("c").over(inside)
-    ranked = spread.join(before, "_part").withColumn("_upto", upto).join(F.broadcast(total))  # one row
+    ranked = spread.join(before, "_part").withColumn("_upto", upto)
     at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("v")))
     n = F.col("n")
     return ranked.agg(
@@ -258,7 +260,8 @@ def book_summary(pages: DataFrame, accepted_count: DataFrame) -> DataFrame:
         F.count("asset_id").alias("placed"),
     )
     sheets = F.col("spreads") * 2
-    return totals.join(F.broadcast(accepted_count)).select(  # one row each
+    parts = totals.unionByName(accepted_count.select("n"), allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in ("spreads", "chapters", "placed", "n")]).select(
         "spreads", sheets.alias("pages"), "chapters", "placed", (F.col("n") - F.col("placed")).alias("unplaced"),
         F.bround(F.col("placed") / F.greatest(F.lit(1), sheets), 1).alias("per_page"),
         (sheets <= PAGE_LIMIT).alias("within_limit"),

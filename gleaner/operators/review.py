@@ -62,10 +62,11 @@ def unknown_ids(feed: DataFrame, assets: DataFrame) -> DataFrame:
 
 def first_ids(ids: DataFrame, shown: int = 5) -> DataFrame:
     """(total, sample): how many ids, and the first few in order for a message."""
-    head = ids.orderBy("asset_id").limit(shown).agg(
-        F.array_join(F.array_sort(F.collect_list("asset_id")), ",").alias("sample")
+    head = ids.orderBy("asset_id").limit(shown).select(F.lit(0).cast("bigint").alias("n"), "asset_id")
+    total = ids.agg(F.count("*").alias("n")).select("n", F.lit(None).cast("string").alias("asset_id"))
+    return total.unionByName(head).agg(
+        F.sum("n").alias("total"), F.array_join(F.array_sort(F.collect_list("asset_id")), ",").alias("sample")
     )
-    return ids.agg(F.count("*").alias("total")).join(head)  # one row each side
 
 
 def fold_decisions(assets: DataFrame, feed: DataFrame) -> DataFrame:

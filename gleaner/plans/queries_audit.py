@@ -11,7 +11,7 @@ from gleaner.plans.queries_curation import GATE_CTE, gated
 from gleaner.plans.queries_neardup import PRIORITY_CTE, priority_dim
 from gleaner.plans.queries_placement import BOOK_CTE, measured, parts
 from gleaner.plans.registry import query
-from gleaner.session import checkpoint_dir
+from gleaner.session import checkpoint_dir, spread_scan
 from gleaner.sources import files, reports, snapshot
 from gleaner.operators import export
 
@@ -36,7 +36,7 @@ LEAK_CTE = r"""WITH lines AS (
 
 
 def leaks(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    texts = spread_scan(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("path"), "text")
     return audit.leak_scan(texts, BLOCK)
 
 

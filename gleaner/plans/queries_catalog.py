@@ -224,13 +224,13 @@ def o1_cull_order(spark, sf_dir):
     return numbering.number_rows(rows, ["cluster", "best_datetime", "orig_path", "asset_id"], "place", ("chapter",)).select("asset_id", "place")
 
 
-@query("o2_capped_lists", sql("""SELECT name, more FROM (
-  SELECT orig_path AS name, greatest(count(*) OVER () - 50, 0) AS more, row_number() OVER (ORDER BY orig_path) AS r
-  FROM assets WHERE date_confidence = 'low') WHERE r <= 50"""))
+@query("o2_capped_lists", sql(""", low AS (SELECT orig_path AS name, row_number() OVER (ORDER BY orig_path) AS r FROM assets WHERE date_confidence = 'low')
+SELECT name, 1 AS n FROM low WHERE r <= 50 UNION ALL SELECT 'more', greatest(count(*) - 50, 0) FROM low"""))
 def o2_capped_lists(spark, sf_dir):
     low = asset_view(spark, sf_dir).where("date_confidence = 'low'").select(F.col("orig_path").alias("name"))
     shown, rest = catalog.capped(low, ["name"], 50)
-    return shown.join(rest)  # the rest is one row
+    one = F.lit(1).cast("bigint").alias("n")
+    return shown.select("name", one).unionByName(rest.select(F.lit("more").alias("name"), F.col("more").alias("n")))
 
 
 @query("o3_union_except", sql(USES_CTE + """

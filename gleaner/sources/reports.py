@@ -57,7 +57,10 @@ def resolution_report(measured: DataFrame, sources: DataFrame) -> DataFrame:
         F.count_if(F.col("source_kind") == "derivative").alias("reduced_sources"),
         F.min(F.when(checked, F.struct("asset_id", "sha1"))).alias("s"),
     )
-    return flags.join(F.broadcast(kinds)).select(  # one row each
+    parts = flags.unionByName(kinds, allowMissingColumns=True)
+    return parts.agg(
+        *[F.max(c).alias(c) for c in ("page_count", "dpi_flags", "below_floor", "full_sources", "reduced_sources", "s")]
+    ).select(
         "page_count", "dpi_flags", "below_floor", "full_sources", "reduced_sources",
         F.col("s.asset_id").alias("sample_id"), (F.col("s.asset_id") == F.col("s.sha1")).alias("sample_matches"),
     )
