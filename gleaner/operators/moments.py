@@ -14,7 +14,7 @@ from gleaner.operators import neardup
 REAL_DATES = ("exif", "sidecar", "filename")
 
 
-def counter_edges(assets: DataFrame, slice_width: int = 10_000) -> DataFrame:
+def counter_edges(assets: DataFrame) -> DataFrame:
     """Consecutive counters of one (src, prefix), 1 or 2 apart.
 
     Counters have at most four digits, so equal numbers are grouped first: a hot source leaves at
@@ -38,7 +38,7 @@ def counter_edges(assets: DataFrame, slice_width: int = 10_000) -> DataFrame:
     )
 
 
-def burst_edges(assets: DataFrame, gap_seconds: int = 120, slice_hours: int = 24) -> DataFrame:
+def burst_edges(assets: DataFrame, gap_seconds: int = 120, slice_hours: int = 1) -> DataFrame:
     """Consecutive instants of one src at most ``gap_seconds`` apart.
 
     A source may hold a third of all rows, so its timeline is cut into slices: neighbours inside a

@@ -150,8 +150,8 @@ def s3_pair_sidecar(spark, sf_dir):
 @query("s4_parse_sidecar", """
 SELECT event_id, CASE WHEN event_type = 'click' THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+00:00')
     WHEN event_type = 'view' THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+00:00') END AS sidecar_taken_time,
-  CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS favorited,
-  CASE WHEN event_type <> 'error' THEN event_id % 3 END AS people_count FROM events""")
+  CASE user_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' END AS favorited,
+  CASE WHEN event_type <> 'error' THEN event_id % 3 ELSE -1 END AS people_count FROM events""")
 def s4_parse_sidecar(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
@@ -166,7 +166,8 @@ def s4_parse_sidecar(spark, sf_dir):
     ))
     text = F.concat(F.lit("{"), F.array_join(parts_, ","), F.lit("}"))
     return e.select("event_id", files.parse_sidecar(text).alias("p")).select(
-        "event_id", "p.sidecar_taken_time", "p.favorited", F.col("p.people_count").cast("bigint").alias("people_count")
+        "event_id", "p.sidecar_taken_time", F.col("p.favorited").cast("string").alias("favorited"),
+        F.coalesce(F.col("p.people_count"), F.lit(-1)).cast("bigint").alias("people_count"),
     )
 
 

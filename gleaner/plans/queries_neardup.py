@@ -76,7 +76,7 @@ def grouped_assets(spark, sf_dir):
 @query(
     "entry_keepers_by_source",
     sql(FULL_GROUPS + """
-SELECT src, count(*) AS total, count_if(place = 1) AS kept, count_if(place > 1) AS flagged
+SELECT src, count(*) AS total, count(*) FILTER (place = 1) AS kept, count(*) FILTER (place > 1) AS flagged
 FROM ranked GROUP BY src""", signals=True, recursive=True),
 )
 def entry_keepers_by_source(spark, sf_dir):
@@ -218,7 +218,7 @@ def a5_keeper(spark, sf_dir):
     "a13_dedup_summary",
     sql(FULL_GROUPS + """
 SELECT sum(n)::BIGINT AS total, count(*) AS kept, (sum(n) - count(*))::BIGINT AS dup_flagged,
-  count_if(n > 1) AS multi_member_groups
+  count(*) FILTER (n > 1) AS multi_member_groups
 FROM (SELECT dup_group, count(*) AS n FROM ranked GROUP BY dup_group)""", signals=True, recursive=True),
 )
 def a13_dedup_summary(spark, sf_dir):

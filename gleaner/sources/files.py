@@ -63,7 +63,7 @@ def content_keyed(files: DataFrame, *columns: str) -> DataFrame:
 
 
 def sidecar_names(path: Column) -> Column:
-    """Candidate sidecar names in order of preference, with Takeout's moved '(N)'."""
+    """Candidate sidecar names in order of preference, with a moved '(N)'."""
     name, bare, ext = base_name(path), stem(path), F.regexp_extract(base_name(path), r"[^.](\.[^.]+)$", 1)
     root = F.regexp_extract(bare, r"^(.*)(\([^(]*\))$", 1)
     paren = F.regexp_extract(bare, r"^(.*)(\([^(]*\))$", 2)
