@@ -151,3 +151,19 @@ def test_rescoring_leaves_decisions_alone(spark):
     picks = spark.createDataFrame([("b",)], "asset_id string")
     got = {r["asset_id"]: (r["score"], r["review_status"]) for r in scoring.apply_shortlist(assets, scored, picks).collect()}
     assert got == {"a": (None, "accept"), "b": (5.0, "pending"), "c": (4.0, None)}
+
+
+def test_a_third_of_the_rows_may_be_copies(spark):
+    rows = spark.range(3000).select(
+        F.format_string("a%05d", "id").alias("asset_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(77)).otherwise(F.xxhash64("id")).cast("bigint").alias("phash"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 9 + 1).cast("string"), 2, "0"), F.lit("T00:00:00")).alias("best_datetime"),
+        F.lit("high").alias("date_confidence"),
+    )
+    nodes = neardup.fingerprint_nodes(rows)
+    # 1000 copies on three days are three nodes, three days apart: no pair of them is even compared.
+    assert nodes.where("phash = 77").count() == 3
+    sizes = neardup.duplicate_groups(rows).groupBy("dup_group").count()
+    assert sizes.where("count > 1").agg(F.sum("count")).first()[0] == 1000
+    stars = neardup.copy_edges(rows).count()
+    assert stars == 999
