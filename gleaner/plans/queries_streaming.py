@@ -36,7 +36,7 @@ def st1_stream_ingest(spark, sf_dir):
         F.sha1(F.col("text").cast("binary")).alias("asset_id"), "doc_id",
         F.timestamp_seconds(F.col("doc_id") * 60).alias("arrived_at"),
     )
-    jobs.stream_ingest(_as_stream(spark, rows, source, "doc_id"), out, state, delay="2 hours").awaitTermination()
+    jobs.stream_ingest(_as_stream(spark, rows, source, "doc_id"), out, state).awaitTermination()
     return spark.read.parquet(out).select("asset_id")
 
 

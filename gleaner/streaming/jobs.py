@@ -29,13 +29,15 @@ def _batches(spark: SparkSession, path: str):
 
 
 def stream_ingest(
-    arrivals: DataFrame, target: str, checkpoint: str, key: str = "asset_id", at: str = "arrived_at", delay: str = "1 day"
+    arrivals: DataFrame, target: str, checkpoint: str, key: str = "asset_id", at: str = "arrived_at"
 ) -> StreamingQuery:
-    """Append each new key once. Repeats inside the watermark are dropped in state, older ones by an
-    anti-join with what is already written."""
-    fresh = arrivals.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    """Append each new key once: the first arrival of a batch, unless the key is already written.
+
+    No watermark: it would drop late rows whose key is new, and an ingest must not lose any.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), at).alias("r")).select("r.*")
         known = _batches(batch.sparkSession, target)
         if known is not None:
             # Leave this batch's own rows out, so that a replay writes them again.
@@ -44,7 +46,7 @@ def stream_ingest(
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
-        fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
