@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 SEGMENT = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+SIGNS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -97,12 +98,12 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return bytes_[at[0] : at[-1]], at - at[0]
 
 
-def find_words(column: pa.Array | pa.ChunkedArray, fold: bool = False) -> Words:
-    """The words of every text; ``fold`` lower-cases A to Z first."""
+def find_words(column: pa.Array | pa.ChunkedArray, fold: bool = False, between: np.ndarray = SPACE) -> Words:
+    """The words of every text; ``fold`` lower-cases A to Z first, ``between`` marks the bytes between words."""
     data, offsets = text_buffers(column)
     if fold:
         data = FOLD[data]
-    solid = ~SPACE[data]
+    solid = ~between[data]
     first, last = solid.copy(), solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]
