@@ -7,23 +7,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import substring_dedup
+from gleaner.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup
+from gleaner.llm.reach import reachable
 from gleaner.session import checkpoint_dir
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that an earlier document has; documents left without a word go."""
-    out = substring_dedup.remove_repeats(docs).where("n_removed < n_words").select("doc_id", "n_removed", "kept")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return docs.join(out, "doc_id").select(
-        "doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("bigint").alias("n_chars")
-    )
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the quality rules."""
+    return quality_rules.keep_good(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the row with the smallest doc_id; a null doc_id is in no group."""
+    reachable(spark)
+    groups = jaccard_join.jaccard_components(docs)
+    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; n_chars follows."""
+    reachable(spark)
+    return substring_dedup.cut_repeats(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that share no passage with a benchmark item."""
+    return decontaminate.decontaminate(docs, reachable(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of token sequences, with their ids."""
+    reachable(spark)
+    return packing.pack(docs)
 
 
 STAGES = [
-    ("substring dedup", drop_repeats),
+    ("quality rules", good_documents),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("substring dedup", without_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
 ]
 
+# Tokenizing has no SQL form; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

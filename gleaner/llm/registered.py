@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard_join, substring_dedup
+from gleaner.llm import (
+    decontaminate, html_text, jaccard_join, labelled, language_id, packing, quality_knn, quality_rules, sharding, substring_dedup, toxicity,
+)
+from gleaner.llm.reach import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("op6_substring_dedup", f"""
@@ -72,3 +75,93 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """)
 def op10_jaccard_components(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
+twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 5)) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id
+),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    len(string_split(text, chr(10))) AS n_lines,
+    length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)
+),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words
+    OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) OR 2 * capital > n_words) AS kept
+FROM f
+""")
+def op2_quality_rules(spark, sf_dir):
+    docs = quality_rules.with_base(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules.cascade(docs)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        F.col("failed").isNull().alias("kept"),
+    )
+
+
+@query("op4_balanced_labels")
+def op4_balanced_labels(spark, sf_dir):
+    out = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = labelled.remainder(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op8_quality_knn")
+def op8_quality_knn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = labelled.remainder(F.col("doc_id"), 5) == 0
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return quality_knn.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = labelled.remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op7_html_text")
+def op7_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    out = html_text.extract(pages, html_text.train(pages))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner.llm import exchange, kernel
 
@@ -59,9 +60,16 @@ def _spans(gone: np.ndarray) -> list[dict]:
     return [{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans of removed words, kept words joined by a space), a row per document."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans of removed words, kept words joined by a space), a row per document.
+
+    With ``carry`` each row also has its input row as the struct ``row``.
+    """
+    extra = [F.struct("*").alias("row")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    result = StructType.fromDDL(RESULT)
+    if carry:
+        result = result.add(docs.schema["row"])
     ranges = exchange.Ranges(docs, bytes_per_value=5.5, value_bytes=6)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +114,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 out["spans"].append(_spans(own) if removed else [])
                 out["kept"].append(b" ".join(compress(words, ~own) if removed else words).decode())
                 row += 1
-        return pa.Table.from_pydict(out, schema=ARROW)
+        found = pa.Table.from_pydict(out, schema=ARROW)
+        return found.append_column("row", rows.column("row")) if carry else found
 
     replies = exchange.answers(docs.mapInArrow(send, exchange.FRAGMENT), _repeated_before)
     chunked = docs.withColumn("chunk", ranges.chunk(F.col("doc_id")))
-    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(settle, RESULT)
+    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(settle, result)
+
+
+def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` without repeated passages, columns as they are; rows that lose every word go.
+
+    A text that loses nothing stays as it is, white space included; others are their kept words joined by a space.
+    """
+    out = remove_repeats(docs, width, carry=True).where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    return out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
