@@ -93,7 +93,7 @@ m AS (
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
     coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
     len(string_split(text, chr(10))) AS n_lines,
-    length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{Ll}') AND regexp_matches(x, '\p{Lu}'))) AS capital
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)
 ),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
