@@ -41,8 +41,13 @@ def instant(text: Column) -> Column:
     return _as_text(text).try_cast("timestamp")
 
 
+# Accepted forms: a full date, with or without dashes, alone or followed by a time. A year or a month is no date.
+DAY = r"^(\d{4})-?(\d{2})-?(\d{2})(?=$|[T ])"
+
+
 def _as_text(text: Column) -> Column:
-    return F.regexp_replace(text, "Z$", "+00:00")
+    dashed = F.regexp_replace(text, DAY, "$1-$2-$3")
+    return F.when(text.rlike(DAY), F.regexp_replace(dashed, "Z$", "+00:00"))
 
 
 def wall_date(text: Column) -> Column:

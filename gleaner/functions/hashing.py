@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column
@@ -127,6 +128,17 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return bounds
 
 
+def equal_blocks_for(max_distance: int, expected: int) -> int:
+    """Blocks that a key must join so that ``expected`` words share a key by chance less than once.
+
+    More blocks make longer keys, and more keys per word: 2 give 16 bits at distance 6, 3 give 21, 4 give 25.
+    """
+    equal = 1
+    while 64 * equal // (max_distance + equal) < math.log2(max(expected, 2)):
+        equal += 1
+    return equal
+
+
 def block_masks(max_distance: int, equal_blocks: int = 2) -> Column:
     """Constant array of (chosen, mask): every choice of ``equal_blocks`` blocks.
 

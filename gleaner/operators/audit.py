@@ -74,7 +74,7 @@ def leak_scan(texts: DataFrame, blocklist: Blocklist = Blocklist()) -> DataFrame
     rules = [
         _hits("EMAIL", F.filter(every(EMAIL, hint=s.contains("@")), lambda m: ~F.lower(m).rlike(f"({_any_of(OK_DOMAINS)})$"))),
         _hits("ID", F.filter(every(HEX40, hint=s.rlike("[0-9a-f]{40}")), lambda m: ~m.rlike(PADDED_ID))),
-        _hits("HOME", F.filter(every(HOME_PATH, 1, path_like), lambda m: ~F.rtrim(F.lower(m), F.lit(".")).isin(*OK_USERS))),
+        _hits("HOME", F.filter(every(HOME_PATH, 0, path_like), lambda m: ~F.rtrim(F.lower(F.regexp_extract(m, HOME_PATH, 1)), F.lit(".")).isin(*OK_USERS))),
     ]
     advisory = F.filter(every(ISO_DATE, hint=s.rlike("[0-9]-[0-9]{2}-[0-9]")), lambda m: ~m.isin(*blocklist.known_dates, *blocklist.dates, ""))
     rules.append(_hits("DATE", advisory))

@@ -34,19 +34,13 @@ def contiguity_problems(dim: DataFrame) -> DataFrame:
     return seen.select("chapter", F.explode(problems).alias("problem"), expected.alias("expected_start"))
 
 
-def check_contiguous(chapters: Sequence[Chapter]) -> list[str]:
-    """The same rule for a configured list, before any job starts."""
-    from datetime import date, timedelta
-
+def require_contiguous(spark: SparkSession, chapters: Sequence[Chapter]) -> None:
+    """Raise before any job over the rows starts; the dimension has a row per chapter."""
     if not chapters:
-        return ["no chapters defined"]
-    found = [f"{c.id}: end {c.end} before start {c.start}" for c in chapters if c.end < c.start]
-    for prev, cur in zip(chapters, chapters[1:]):
-        expected = (date.fromisoformat(prev.end) + timedelta(days=1)).isoformat()
-        if cur.start != expected:
-            kind = "overlap" if cur.start <= prev.end else "gap"
-            found.append(f"{cur.id}: start {cur.start} is not {expected} ({kind})")
-    return found
+        raise ValueError("no chapters defined")
+    found = contiguity_problems(chapter_dim(spark, chapters)).collect()
+    if found:
+        raise ValueError("chapters are not contiguous: " + "; ".join(f"{r['chapter']}: {r['problem']}" for r in found))
 
 
 def assign(assets: DataFrame, chapters: Sequence[Chapter]) -> DataFrame:
@@ -54,9 +48,7 @@ def assign(assets: DataFrame, chapters: Sequence[Chapter]) -> DataFrame:
 
     Dates outside the chapters go to the nearest end; rows without a date to the last chapter.
     """
-    problems = check_contiguous(chapters)
-    if problems:
-        raise ValueError("chapters are not contiguous: " + "; ".join(problems))
+    require_contiguous(assets.sparkSession, chapters)
     day = F.coalesce(wall_date(F.col("best_datetime")), F.lit(chapters[-1].end).cast("date"))
     chapter: Column = F.lit(chapters[0].id)
     for c in chapters[1:]:

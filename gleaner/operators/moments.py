@@ -73,6 +73,29 @@ def burst_edges(assets: DataFrame, gap_seconds: int = 120, slice_hours: int = 1)
     )
 
 
+def bursts(rows: DataFrame, key: str, at: str, gap_seconds: int = 120, slice_hours: int = 1) -> DataFrame:
+    """(key, first_ts, last_ts, n) of every run of rows at most ``gap_seconds`` apart.
+
+    Equal instants are counted first. Runs are found inside slices of each timeline; only a slice's first
+    and last run can go on in a neighbouring slice, and those, two per slice, are joined up.
+    """
+    gap = lambda later, earlier: F.unix_micros(later) - F.unix_micros(earlier) > gap_seconds * 1_000_000
+    instants = rows.where(F.col(at).isNotNull()).groupBy(key, F.col(at).cast("timestamp").alias("at")).agg(F.count("*").alias("n"))
+    sliced = instants.withColumn("slice", F.floor(F.unix_timestamp("at") / (slice_hours * 3600)))
+    inside = Window.partitionBy(key, "slice").orderBy("at")
+    starts = sliced.withColumn("run", F.sum(F.coalesce(gap(F.col("at"), F.lag("at").over(inside)), F.lit(True)).cast("int")).over(inside))
+    runs = starts.groupBy(key, "slice", "run").agg(F.min("at").alias("first_ts"), F.max("at").alias("last_ts"), F.sum("n").alias("n"))
+    last_run = F.max("run").over(Window.partitionBy(key, "slice"))
+    runs = runs.withColumn("edge", (F.col("run") == 1) | (F.col("run") == last_run))
+    # Two rows per key and slice at most: bounded by the calendar, not by the rows.
+    line = Window.partitionBy(key).orderBy("first_ts")
+    edges = runs.where("edge").withColumn(
+        "burst", F.sum(F.coalesce(gap(F.col("first_ts"), F.lag("last_ts").over(line)), F.lit(True)).cast("int")).over(line)
+    )
+    joined = edges.groupBy(key, "burst").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n"))
+    return runs.where("NOT edge").select(key, "first_ts", "last_ts", "n").unionByName(joined.drop("burst"))
+
+
 def moment_clusters(assets: DataFrame, distance: int = 6) -> DataFrame:
     """(asset_id, cluster) of rows that share a moment with another row; single rows are left out."""
     edges = (

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from gleaner.functions import hashing
 from gleaner.functions.dates import NO_DATE, day_key, wall_time
 from gleaner.operators.numbering import number_rows
-from gleaner.session import cut_lineage
+from gleaner.session import cut_lineage, release
 
 
+# Block keys for up to a million different fingerprints; more rows need ``hashing.equal_blocks_for``.
+EQUAL_BLOCKS = hashing.equal_blocks_for(6, 1_000_000)
 UNDATED = -(10**9)  # day number of the pool of rows without a date
 
 
@@ -67,7 +69,7 @@ def _edges(joined: DataFrame) -> DataFrame:
     )
 
 
-def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = 2) -> DataFrame:
+def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLOCKS) -> DataFrame:
     """Node pairs that share a pool of three consecutive days around a day that has rows.
 
     Days apart 0 or 1 always share one; days two apart share one only if the middle day has rows.
@@ -100,7 +102,7 @@ def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = 2) -> Dat
 
 
 def window_edges(
-    nodes: DataFrame, distance: int = 6, window_days: int = 30, equal_blocks: int = 2
+    nodes: DataFrame, distance: int = 6, window_days: int = 30, equal_blocks: int = EQUAL_BLOCKS
 ) -> DataFrame:
     """Pairs of a low-confidence node and any dated node within the window, bounds included.
 
@@ -146,7 +148,7 @@ def window_edges(
     ).distinct()
 
 
-def all_edges(assets: DataFrame, distance: int = 6, equal_blocks: int = 2) -> DataFrame:
+def all_edges(assets: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLOCKS) -> DataFrame:
     """Near pairs over the whole table, between distinct fingerprints; the copies of one
     fingerprint are tied by ``copy_edges``."""
     nodes = assets.where("phash IS NOT NULL").groupBy("phash").agg(F.min("asset_id").alias("node"))
@@ -181,15 +183,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in
     MapReduce and Beyond"). The minimum per vertex is a plain aggregation with map-side combine,
-    so a hub does not have to fit in one task.
+    so a hub does not have to fit in one task. Rounds run on numbers in the order of the ids, which keeps
+    them to hash aggregation; a round is deleted when the next one is written.
     """
+    if dict(edges.dtypes)["src"] != "bigint":
+        return _by_number(edges, max_rounds)
     current, before = _settle(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        current, after = _settle(_small_star(_large_star(current)))
+        last = current
+        current, after = _settle(_small_star(_large_star(last)))
+        release(last)
         if after == before:
             break
         before = after
@@ -200,6 +207,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return members.unionByName(roots)
 
 
+def _by_number(edges: DataFrame, max_rounds: int) -> DataFrame:
+    edges = cut_lineage(edges.select("src", "dst"))
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    numbered = cut_lineage(number_rows(ids, ["id"], "no"))
+    side = lambda name: numbered.select(F.col("id").alias(name), F.col("no").alias(f"{name}_no"))
+    plain = edges.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_no").alias("src"), F.col("dst_no").alias("dst"))
+    found = connected_components(plain, max_rounds).select(F.col("id").alias("no"), F.col("component").alias("root_no"))
+    release(edges)
+    roots = numbered.select(F.col("no").alias("root_no"), F.col("id").alias("component"))
+    return found.join(numbered, "no").join(roots, "root_no").select("id", "component")
+
+
 def _settle(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """Write one round and, in the same pass, observe its size and an order-free checksum."""
     seen = Observation()
@@ -233,11 +252,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(
-    assets: DataFrame, distance: int = 6, window_days: int = 30
+    assets: DataFrame, distance: int = 6, window_days: int = 30, equal_blocks: int = EQUAL_BLOCKS
 ) -> DataFrame:
     """(asset_id, dup_group): every row gets a group named by its smallest id, alone or not."""
     nodes = cut_lineage(fingerprint_nodes(assets))
-    edges = day_edges(nodes, distance).unionByName(window_edges(nodes, distance, window_days))
+    edges = day_edges(nodes, distance, equal_blocks).unionByName(window_edges(nodes, distance, window_days, equal_blocks))
     components = connected_components(edges)
     named = (
         nodes.join(components, nodes.node == components.id, "left")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import geometry
 from gleaner.operators.numbering import number_rows
+from gleaner.session import refuse
 
 PER_SPREAD = 7
+TOO_FEW = "a chapter has fewer than four rows"
 
 
 def spread_count(n: Column) -> Column:
@@ -24,9 +26,9 @@ def default_left(total: Column, index: Column) -> Column:
 
 
 def spread_sizes(sizes: DataFrame) -> DataFrame:
-    """(chapter, spread_no, n_items, left_items, right_items) for (chapter, n) rows with n >= 4."""
+    """(chapter, spread_no, n_items, left_items, right_items) for (chapter, n) rows; fewer than four are refused."""
     s = spread_count(F.col("n"))
-    spreads = sizes.where("n >= 4").select(
+    spreads = refuse(sizes, F.col("n") < 4, TOO_FEW).select(
         "chapter", "n", s.alias("_s"), F.explode(F.sequence(F.lit(0).cast("bigint"), s - 1)).alias("spread_no")
     )
     total = F.floor(F.col("n") / F.col("_s")) + F.when(F.col("spread_no") < F.col("n") % F.col("_s"), 1).otherwise(0)
@@ -39,12 +41,12 @@ def spread_sizes(sizes: DataFrame) -> DataFrame:
 def place_on_spreads(selected: DataFrame) -> DataFrame:
     """Adds spread_no, at (place in the spread), n_items and default_left to every row.
 
-    selected: chapter, asset_id, story_order. Chapters with fewer than four rows give none.
+    selected: chapter, asset_id, story_order. A chapter with fewer than four rows is refused; see
+    ``set_small_aside``.
     """
     placed = number_rows(selected, ["story_order", "asset_id"], "_no", ("chapter",))
-    sizes = placed.groupBy("chapter").agg(F.count("*").alias("_n")).where("_n >= 4").withColumn(
-        "_s", spread_count(F.col("_n"))
-    )
+    counted = placed.groupBy("chapter").agg(F.count("*").alias("_n"))
+    sizes = refuse(counted, F.col("_n") < 4, TOO_FEW).withColumn("_s", spread_count(F.col("_n")))
     p, base, extra = F.col("_no") - 1, F.floor(F.col("_n") / F.col("_s")), F.col("_n") % F.col("_s")
     longer = extra * (base + 1)
     in_long = p < longer
@@ -59,6 +61,12 @@ def place_on_spreads(selected: DataFrame) -> DataFrame:
     )
 
 
+def set_small_aside(selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of chapters that fill a spread, rows of those that don't)."""
+    small = selected.groupBy("chapter").agg(F.count("*").alias("_n")).where("_n < 4").select("chapter")
+    return selected.join(small, "chapter", "left_anti"), selected.join(small, "chapter", "left_semi")
+
+
 def story_aware_left(placed: DataFrame) -> DataFrame:
     """(chapter, spread_no, left_items): the split that keeps story groups whole.
 
@@ -115,8 +123,9 @@ def number_spreads(pages: DataFrame, chapter_dim: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     per_chapter = pages.groupBy("chapter").agg((F.max("spread_no") + 1).alias("_spreads")).join(
-        chapter_dim.select("chapter", "chapter_no"), "chapter"
+        chapter_dim.select("chapter", "chapter_no"), "chapter", "left"
     )
+    per_chapter = refuse(per_chapter, F.col("chapter_no").isNull(), "a row's chapter is not in the chapter list")
     w = Window.orderBy("chapter_no")  # one row per chapter
     starts = per_chapter.select(
         "chapter",

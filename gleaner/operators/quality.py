@@ -33,13 +33,20 @@ def group_percentile(
         rows.join(bounds, group)
         .groupBy(group, zone.alias("zone"), F.when(zone == 0, F.col("v")).alias("inside"))
         .agg(F.count("*").alias("c"), F.max("v").alias("top"), F.min("v").alias("bottom"), F.first("n").alias("n"))
-        .select(group, "c", "n", F.when(F.col("zone") == 1, F.col("bottom")).otherwise(F.col("top")).alias("v"))
+        .select(group, "zone", "c", "n", F.when(F.col("zone") == 1, F.col("bottom")).otherwise(F.col("top")).alias("v"))
     )
     upto = F.sum("c").over(
         Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
     at = F.floor(spot)
-    picked = counted.withColumn("upto", upto).groupBy(group).agg(
+    ranked = counted.withColumn("upto", upto)
+    # The outer zones keep one value each: a wanted rank deeper inside one of them can't be told.
+    missed = ((F.col("zone") == -1) & (at < F.col("c") - 1)) | (
+        (F.col("zone") == 1) & (at + 1 < F.col("n")) & (at + 1 > F.col("upto") - F.col("c"))
+    )
+    error = F.raise_error(F.lit("the percentile bracket misses the rank; raise accuracy")).cast("double")
+    ranked = ranked.withColumn("v", F.when(missed, error).otherwise(F.col("v")))
+    picked = ranked.groupBy(group).agg(
         F.min(F.when(F.col("upto") > at, F.col("v"))).alias("lower"),
         F.min(F.when(F.col("upto") > at + 1, F.col("v"))).alias("upper"),
         F.first("n").alias("n"),

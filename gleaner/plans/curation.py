@@ -53,6 +53,7 @@ class Draft:
     templates: DataFrame
     spreads: DataFrame
     checks: DataFrame
+    unplaced: DataFrame
 
 
 def compose(
@@ -79,7 +80,8 @@ def compose(
     else:
         targets = story.budgets(sizes, total)
     selected = cut_lineage(story.even_sample(pool, targets))
-    placed = pagination.place_on_spreads(selected)
+    fitting, unplaced = pagination.set_small_aside(selected)
+    placed = pagination.place_on_spreads(fitting)
     pages = pagination.assign_pages(placed, pagination.story_aware_left(placed))
     book = cut_lineage(pagination.number_spreads(pages, chapter_dim(spark, config.chapters)))
 
@@ -114,7 +116,7 @@ def compose(
     )
     labels = pagination.spread_labels(book.select("spread", "side", "opener", "w", "h"))
     checks = placement.book_checks(placements, templates, facts, window_rows)
-    return Draft(placements, templates, labels, checks)
+    return Draft(placements, templates, labels, checks, unplaced)
 
 
 def check_draft(draft: Draft) -> Draft:

@@ -23,7 +23,7 @@ LEAK_CTE = r"""WITH lines AS (
   SELECT doc_id, line, 'EMAIL' AS rule, unnest(regexp_extract_all(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS match FROM lines
   UNION ALL SELECT doc_id, line, 'ID', unnest(regexp_extract_all(s, '\b[0-9a-f]{40}\b')) FROM lines
   UNION ALL SELECT doc_id, line, 'DATE', unnest(regexp_extract_all(s, '\b\d{4}-\d{2}-\d{2}\b')) FROM lines
-  UNION ALL SELECT doc_id, line, 'HOME', unnest(regexp_extract_all(s, '(?i)(?:c:[/\\]+users[/\\]+|/home/|/users/)([a-z0-9_.-]+)', 1)) FROM lines
+  UNION ALL SELECT doc_id, line, 'HOME', unnest(regexp_extract_all(s, '(?i)(?:c:[/\\]+users[/\\]+|/home/|/users/)([a-z0-9_.-]+)', 0)) FROM lines
   UNION ALL SELECT doc_id, line, 'STRING', 'license' FROM lines WHERE lower(s) LIKE '%license%'
   UNION ALL SELECT doc_id, line, 'STRING', 'copyright' FROM lines WHERE lower(s) LIKE '%copyright%'
   UNION ALL SELECT doc_id, line, 'NAME', unnest(regexp_extract_all(s, '(?i)(?:^|[^a-z])(worthless|lorem)(?:[^a-z]|$)', 1)) FROM lines
@@ -31,7 +31,7 @@ LEAK_CTE = r"""WITH lines AS (
 ), kept AS (
   SELECT * FROM hits WHERE NOT (rule = 'EMAIL' AND regexp_matches(lower(match), '(example\.com|example\.org|example\.net)$'))
     AND NOT (rule = 'ID' AND regexp_full_match(match, '0{30,}[0-9]+')) AND NOT (rule = 'DATE' AND match = '2024-01-05')
-    AND NOT (rule = 'HOME' AND rtrim(lower(match), '.') IN ('you', 'yourname', 'username', 'user', 'name', 'me'))
+    AND NOT (rule = 'HOME' AND rtrim(lower(regexp_extract(match, '(?i)(?:c:[/\\]+users[/\\]+|/home/|/users/)([a-z0-9_.-]+)', 1)), '.') IN ('you', 'yourname', 'username', 'user', 'name', 'me'))
 )"""
 
 
@@ -136,7 +136,7 @@ SIDE = """CASE doc_id % 4 WHEN 0 THEN orig_path || '.supplemental-metadata.json'
   WHEN 2 THEN orig_path || '.suppl.json' END"""
 
 
-@query("s3_pair_sidecar", sql(f"SELECT orig_path AS path, min({SIDE}) AS sidecar_path FROM assets WHERE src = 'src1' OR src <> 'src1' GROUP BY orig_path"))
+@query("s3_pair_sidecar", sql(f"SELECT orig_path AS path, min({SIDE}) AS sidecar_path FROM assets GROUP BY orig_path"))
 def s3_pair_sidecar(spark, sf_dir):
     rows = asset_view(spark, sf_dir).select("doc_id", F.col("orig_path").alias("path"))
     kind, path = F.col("doc_id") % 4, F.col("path")

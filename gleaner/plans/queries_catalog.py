@@ -96,19 +96,12 @@ def p14_filename_family(spark, sf_dir):
 @query("p17_feature_weight", sql(f"""SELECT asset_id, CASE WHEN is_hero THEN 3.0 WHEN favorited THEN 2.0
     WHEN list_has_any(list_transform({TAG_LIST}, lambda t: lower(t)), ['family', 'immediate family', 'extended family', 'cousins', 'siblings', 'milestones']) THEN 1.0
     ELSE 0.0 END::DOUBLE AS weight,
-  row_number() OVER (PARTITION BY chapter ORDER BY is_hero DESC, favorited DESC, coalesce(score, 0) DESC, w * h DESC, asset_id) AS place
-FROM assets QUALIFY place <= 25"""))
+  is_hero::INTEGER AS hero, favorited::INTEGER AS favorite, coalesce(score, 0) AS score, w::BIGINT * h AS pixels
+FROM assets"""))
 def p17_feature_weight(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = asset_view(spark, sf_dir).withColumn(
-        "key", flags.quality_key(F.col("is_hero"), F.col("favorited"), F.col("score"), F.col("w"), F.col("h"))
-    )
-    # A top-25 report per chapter; the rank limit runs before the shuffle.
-    place = F.row_number().over(Window.partitionBy("chapter").orderBy(F.desc("key"), "asset_id"))
-    return rows.withColumn("place", place.cast("bigint")).where("place <= 25").select(
-        "asset_id", flags.feature_weight(F.col("is_hero"), F.col("favorited"), F.col("tags")).alias("weight"), "place"
-    )
+    key = flags.quality_key(F.col("is_hero"), F.col("favorited"), F.col("score"), F.col("w"), F.col("h"))
+    weight = flags.feature_weight(F.col("is_hero"), F.col("favorited"), F.col("tags"))
+    return asset_view(spark, sf_dir).select("asset_id", weight.alias("weight"), key.alias("key")).select("asset_id", "weight", "key.*")
 
 
 @query("p29_signals_and_flags", sql("""SELECT asset_id,

@@ -277,13 +277,9 @@ FROM s GROUP BY event_type, session HAVING count(*) > 1""",
 )
 def w2_event_bursts(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", "ts")
-    # session_window merges a gap of exactly 120 s, as the burst rule does.
-    return (
-        events.groupBy("event_type", F.session_window("ts", "120 seconds"))
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("session_window")
-    )
+    kind = dict(events.dtypes)["ts"]
+    found = moments.bursts(events, "event_type", "ts").where("n > 1")
+    return found.select("event_type", F.col("first_ts").cast(kind).alias("first_ts"), F.col("last_ts").cast(kind).alias("last_ts"), "n")
 
 
 @query(

@@ -9,7 +9,6 @@ from gleaner.functions import geometry
 from gleaner.operators import placement
 from gleaner.plans.assets import table
 from gleaner.plans.registry import query
-from gleaner.session import dimension
 from gleaner.sources import book
 
 CHAPTER_WINDOWS = (
@@ -17,7 +16,7 @@ CHAPTER_WINDOWS = (
 )
 BOOK_CTE = """WITH tpl AS (
   SELECT 'grid_' || n AS template, i AS pos, n, ceil(sqrt(n)) AS c, ceil(n / ceil(sqrt(n))) AS r
-  FROM (SELECT unnest(range(1, 8)) AS n), LATERAL (SELECT unnest(range(0, n)) AS i)
+  FROM (SELECT DISTINCT count(*) AS n FROM lineitem GROUP BY l_orderkey), LATERAL (SELECT unnest(range(0, n)) AS i)
 ), templates AS (
   SELECT template, pos, 0.12 + (pos % c) * (11.76 / c) AS x, 0.12 + floor(pos / c) * (11.76 / r) AS y,
     11.76 / c - 0.05 AS w, 11.76 / r - 0.05 AS h FROM tpl
@@ -28,7 +27,7 @@ BOOK_CTE = """WITH tpl AS (
 ), placements AS (
   SELECT page // 2 AS spread, CASE WHEN page % 2 = 0 THEN 'left' ELSE 'right' END AS side,
     (page // 2) * 2 + CASE WHEN page % 2 = 0 THEN 1 ELSE 2 END AS page_number, o.o_orderpriority AS chapter,
-    'grid_' || least(count(*) OVER (PARTITION BY page), 7) AS template, cell, l_partkey::VARCHAR AS asset_id,
+    'grid_' || count(*) OVER (PARTITION BY page) AS template, cell, l_partkey::VARCHAR AS asset_id,
     CASE WHEN l_returnflag = 'R' THEN 1 - l_discount * 5 END AS crop_w, CASE WHEN l_returnflag = 'R' THEN 1 - l_tax * 5 END AS crop_h,
     CASE WHEN l_tax > 0.06 THEN 'agreed' WHEN l_tax > 0.03 THEN (l_quantity * 4)::INTEGER::VARCHAR END AS override_dpi,
     CASE WHEN l_returnflag = 'R' THEN 'cover' ELSE 'contain' END AS fit, l_linestatus = 'F' AS intentional_hero,
@@ -37,7 +36,7 @@ BOOK_CTE = """WITH tpl AS (
 ), parts AS (
   SELECT p_partkey::VARCHAR AS asset_id, 200 + p_size * 60 AS px_w, 300 + p_partkey % 50 * 70 AS px_h,
     p_size % 3 > 0 AS date_trusted, CASE WHEN p_size % 7 > 0 THEN strftime(DATE '1995-01-01' + (p_partkey * 13 % 2500)::INTEGER, '%Y-%m-%d') ELSE '' END AS day
-  FROM part WHERE p_partkey % 29 > 0
+  FROM part
 ), ratio AS (SELECT *, px_w / greatest(1, px_h) AS ar FROM parts),
 fitted AS (
   SELECT p.*, t.x, t.y, t.w, t.h, px_w, px_h, date_trusted, day,
@@ -67,7 +66,7 @@ def placements(spark, sf_dir):
         F.when(on_left, "left").otherwise("right").alias("side"),
         (spread * 2 + F.when(on_left, 1).otherwise(2)).alias("page_number"),
         "chapter",
-        F.concat(F.lit("grid_"), F.least("_n", F.lit(7)).cast("string")).alias("template"),
+        F.concat(F.lit("grid_"), F.col("_n").cast("string")).alias("template"),
         "cell",
         F.col("l_partkey").cast("string").alias("asset_id"),
         F.when(cropped, 1 - F.col("l_discount") * 5).alias("crop_w"),
@@ -80,25 +79,24 @@ def placements(spark, sf_dir):
     )
 
 
-def templates(spark):
-    """Grids for one to seven cells."""
-    from math import ceil, sqrt
-
-    rows = []
-    for n in range(1, 8):
-        c = ceil(sqrt(n))
-        r = ceil(n / c)
-        rows += [
-            (f"grid_{n}", i, 0.12 + (i % c) * (11.76 / c), 0.12 + (i // c) * (11.76 / r), 11.76 / c - 0.05, 11.76 / r - 0.05)
-            for i in range(n)
-        ]
-    return dimension(spark, rows, "template string, pos int, x double, y double, w double, h double")
+def templates(spark, sf_dir):
+    """A grid for every number of cells that a page has: one row per cell of each."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).select("n").distinct()
+    across = F.ceil(F.sqrt("n"))
+    down = F.ceil(F.col("n") / across)
+    at = F.col("pos")
+    return counts.select("n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("pos")).select(
+        F.concat(F.lit("grid_"), F.col("n").cast("string")).alias("template"), "pos",
+        (F.lit(0.12) + (at % across) * (F.lit(11.76) / across)).alias("x"),
+        (F.lit(0.12) + F.floor(at / across) * (F.lit(11.76) / down)).alias("y"),
+        (F.lit(11.76) / across - 0.05).alias("w"), (F.lit(11.76) / down - 0.05).alias("h"),
+    )
 
 
 def parts(spark, sf_dir):
-    """Parts as assets. Some parts are missing from the manifest, as files can be."""
+    """Parts as assets."""
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where(key % 29 > 0).select(
+    return table(spark, sf_dir, "part").select(
         key.cast("string").alias("asset_id"),
         (F.lit(200) + F.col("p_size") * 60).alias("px_w"),
         (F.lit(300) + key % 50 * 70).alias("px_h"),
@@ -109,7 +107,7 @@ def parts(spark, sf_dir):
 
 
 def measured(spark, sf_dir):
-    return placement.with_geometry(placements(spark, sf_dir), templates(spark), parts(spark, sf_dir))
+    return placement.with_geometry(placements(spark, sf_dir), templates(spark, sf_dir), parts(spark, sf_dir))
 
 
 @query("j7_placement_geometry", BOOK_CTE + """
@@ -176,7 +174,7 @@ COVER_CTE = BOOK_CTE + """, cover AS (
 
 @query("a10_page_coverage", COVER_CTE + " SELECT spread, side, round(coverage + 1e-9, 6) AS coverage FROM cover")
 def a10_page_coverage(spark, sf_dir):
-    return placement.page_coverage(placements(spark, sf_dir), templates(spark)).select(
+    return placement.page_coverage(placements(spark, sf_dir), templates(spark, sf_dir)).select(
         "spread", "side", F.round(F.col("coverage") + 1e-9, 6).alias("coverage")
     )
 
@@ -222,7 +220,7 @@ def a16_template_usage(spark, sf_dir):
   SELECT spread, round(sum(a.coverage - c.coverage) + 1e-9, 6) AS gain FROM cover c JOIN after a USING (spread, side) GROUP BY spread)
 SELECT spread, gain FROM g ORDER BY gain DESC, spread LIMIT 6""")
 def w13_movers(spark, sf_dir):
-    rows, grid = placements(spark, sf_dir), templates(spark)
+    rows, grid = placements(spark, sf_dir), templates(spark, sf_dir)
     before = placement.page_coverage(rows, grid)
     after = placement.page_coverage(rows.where("fit = 'contain'"), grid)
     gains = before.join(after.withColumnRenamed("coverage", "after"), ["spread", "side"])
@@ -248,7 +246,7 @@ checks AS (
 
 def checks(spark, sf_dir):
     windows = dimension(spark, list(CHAPTER_WINDOWS), "chapter string, window_start string, window_end string")
-    return placement.book_checks(placements(spark, sf_dir), templates(spark), parts(spark, sf_dir), windows)
+    return placement.book_checks(placements(spark, sf_dir), templates(spark, sf_dir), parts(spark, sf_dir), windows)
 
 
 @query("v2_book_checks", CHECKS_SQL + """
@@ -274,7 +272,7 @@ def j11_era_outlier(spark, sf_dir):
 SELECT spread, l.template AS left_template, r.template AS right_template, NOT (l.n > 5 AND r.n > 5) AS valid
 FROM pg l JOIN pg r USING (spread) WHERE l.side = 'left' AND r.side = 'right'""")
 def j14_left_facing_pair(spark, sf_dir):
-    return placement.facing_pairs(placements(spark, sf_dir), templates(spark)).select(
+    return placement.facing_pairs(placements(spark, sf_dir), templates(spark, sf_dir)).select(
         "spread", "left_template", "right_template", "valid"
     )
 

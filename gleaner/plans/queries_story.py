@@ -170,7 +170,8 @@ SELECT chapter, spread_no, n_items, CASE WHEN n_items % 2 = 1 AND spread_no % 2
   n_items - CASE WHEN n_items % 2 = 1 AND spread_no % 2 = 0 THEN n_items // 2 + 1 ELSE n_items // 2 END AS right_items FROM t""")
 def w10_spread_split(spark, sf_dir):
     sizes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("chapter")).agg(F.count("*").alias("n"))
-    return pagination.spread_sizes(sizes)
+    # The view takes customers with enough orders for chapters.
+    return pagination.spread_sizes(sizes.where("n >= 4"))
 
 
 PAGES_CTE = SAMPLE_CTE + """, pos AS (
@@ -203,7 +204,8 @@ book AS (SELECT p.*, start + spread_no AS spread, ordinal, (start + spread_no) *
 
 
 def book_pages(spark, sf_dir):
-    placed = pagination.place_on_spreads(cut_lineage(sampled(spark, sf_dir)))
+    kept, _ = pagination.set_small_aside(cut_lineage(sampled(spark, sf_dir)))
+    placed = pagination.place_on_spreads(kept)
     pages = pagination.assign_pages(placed, pagination.story_aware_left(placed))
     return pagination.number_spreads(pages, chapter_dim(spark, CHAPTERS))
 

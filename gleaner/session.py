@@ -51,7 +51,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows._folder = path
+    return rows
+
+
+def release(rows: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote, once nothing reads it any more."""
+    folder = getattr(rows, "_folder", None)
+    if folder:
+        jvm, context = rows.sparkSession._jvm, rows.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
@@ -79,6 +90,11 @@ def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFr
     return F.broadcast(table) if len(rows) <= BROADCAST_ROW_LIMIT else table
 
 
+def refuse(rows: DataFrame, bad: Column, message: str) -> DataFrame:
+    """The rows as they are; the job fails with the message if ``bad`` holds for one of them."""
+    return rows.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, like a let-expression."""
     return F.transform(F.array(value), body)[0]

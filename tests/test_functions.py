@@ -136,3 +136,11 @@ def test_sidecar_names_and_content(spark):
     assert parse('{"photoTakenTime":{"timestamp":"0"},"favorited":"true","people":[1,2]}') == ("1970-01-01T00:00:00+00:00", True, 2)
     assert parse('{"creationTime":{"timestamp":60},"favorite":0}') == ("1970-01-01T00:01:00+00:00", False, None)
     assert parse("{}") == (None, None, None) and parse("not json") == (None, None, None)
+
+
+def test_only_full_dates_are_dates(spark):
+
+    forms = ["2024", "2024-05", "2024-05-06", "20240506", "2024-05-06T07:08:09", "20240506T070809", "2024-05-06 07:08:09Z", "2024-05-06x", "", None]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(dates.day_key(F.col("t"))).collect()]
+    assert got[:2] == ["nodate"] * 2 and got[2:5] == ["2024-05-06"] * 3 and got[6] == "2024-05-06" and got[7:] == ["nodate"] * 3

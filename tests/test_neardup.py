@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.config import ScoreConfig
+from gleaner.functions import hashing
 from gleaner.operators import moments, neardup, scoring
 
 SCHEMA = "asset_id string, phash bigint, best_datetime string, date_confidence string"
@@ -167,3 +168,37 @@ def test_a_third_of_the_rows_may_be_copies(spark):
     assert sizes.where("count > 1").agg(F.sum("count")).first()[0] == 1000
     stars = neardup.copy_edges(rows).count()
     assert stars == 999
+
+
+def test_bursts_match_a_walk_over_each_timeline(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(4), datetime(2020, 1, 1)
+    rows = [("k%d" % rng.randrange(2), start + timedelta(seconds=rng.choice([0, 1, 60]) + 120 * rng.randrange(400))) for _ in range(500)]
+    rows += [("k0", start + timedelta(seconds=3600 * 9 - 5))] * 40
+    got = sorted(tuple(r) for r in moments.bursts(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts").collect())
+    want = []
+    for k in ("k0", "k1"):
+        run = []
+        for t in [*sorted(t for key, t in rows if key == k), None]:
+            if run and (t is None or (t - run[-1]).total_seconds() > 120):
+                want.append((k, run[0], run[-1], len(run)))
+                run = []
+            run.append(t)
+    assert got == sorted(want)
+
+
+def test_key_length_follows_the_declared_size():
+    assert hashing.equal_blocks_for(6, 50_000) == 2
+    assert hashing.equal_blocks_for(6, 1_000_000) == 3
+    assert hashing.equal_blocks_for(6, 30_000_000) == 4
+
+
+def test_components_of_text_and_number_ids_agree(spark):
+    edges = [(i, i + 1) for i in range(100, 120)] + [(7, 3), (3, 9), (50, 7)]
+    numbers = {r["id"]: r["component"] for r in neardup.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    texts = [(f"{a:05d}", f"{b:05d}") for a, b in edges]
+    found = {r["id"]: r["component"] for r in neardup.connected_components(spark.createDataFrame(texts, "src string, dst string")).collect()}
+    assert found == {f"{k:05d}": f"{v:05d}" for k, v in numbers.items()}
+    assert numbers[120] == 100 and numbers[50] == 3

@@ -103,10 +103,29 @@ def test_partition_layout_has_no_overlaps(spark):
 
 
 def test_six_items_have_no_partition_layout(spark):
-    pages = page_of(spark, [(1000, 1000, 0)] * 6)
-    assert layout.best_partition(pages, layout.partition_table(spark)).count() == 0
-    nine = spark.createDataFrame([(1, i, f"a{i}") for i in range(9)], "page int, pos int, asset_id string")
-    assert layout.overfull(nine).count() == 1
+    with pytest.raises(Exception, match="no partition"):
+        layout.best_partition(page_of(spark, [(1000, 1000, 0)] * 6), layout.partition_table(spark)).collect()
+    with pytest.raises(Exception, match="no recipe or order"):
+        layout.recipe_candidates(page_of(spark, [(1000, 1000, 0)] * 5), layout.default_recipes(spark), layout.order_table(spark, 4)).collect()
+    with pytest.raises(Exception, match="more than 7 items"):
+        page_of(spark, [(1000, 1000, 0)] * 9).collect()
+    with pytest.raises(Exception, match="more than 7 items"):
+        page_of(spark, [(1000, 1000, 0)] * 9).count()
+
+
+def test_small_chapters_are_refused_or_set_aside(spark):
+    rows = [("a", f"a{i}", i, "") for i in range(9)] + [("b", f"b{i}", i, "") for i in range(3)]
+    selected = spark.createDataFrame(rows, "chapter string, asset_id string, story_order bigint, story_group string")
+    with pytest.raises(Exception, match="fewer than four"):
+        pagination.place_on_spreads(selected).collect()
+    with pytest.raises(Exception, match="fewer than four"):
+        pagination.spread_sizes(selected.groupBy("chapter").agg(F.count("*").alias("n"))).collect()
+    kept, aside = pagination.set_small_aside(selected)
+    assert pagination.place_on_spreads(kept).count() == 9 and aside.count() == 3
+    placed = pagination.place_on_spreads(kept)
+    pages = pagination.assign_pages(placed, pagination.story_aware_left(placed))
+    with pytest.raises(Exception, match="not in the chapter list"):
+        pagination.number_spreads(pages, spark.createDataFrame([("z", 1)], "chapter string, chapter_no int")).collect()
 
 
 def twin_rows(ratios, sizes, dense):
