@@ -19,31 +19,25 @@ def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | No
     return reader.parquet(path)
 
 
-def _batches(spark: SparkSession, path: str):
-    """Rows of the finished batches of a sink folder, or None while there are none."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(conf).exists(folder):
-        return None
-    return spark.read.parquet(path)
-
-
 def stream_ingest(
-    arrivals: DataFrame, target: str, checkpoint: str, key: str = "asset_id", at: str = "arrived_at"
+    arrivals: DataFrame, target: str, checkpoint: str, key: str = "asset_id", at: str = "arrived_at", digits: int = 2
 ) -> StreamingQuery:
     """Append each new key once: the first arrival of a batch, unless the key is already written.
 
-    No watermark: it would drop late rows whose key is new, and an ingest must not lose any.
+    The target is partitioned by the first hex digits of the key's hash, and a batch reads only the partitions its
+    own keys fall into. No watermark: it would drop late rows whose key is new, and an ingest must not lose any.
     """
+    prefix = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, digits)
+    empty = arrivals.sparkSession.createDataFrame([], arrivals.schema)
+    empty.write.mode("overwrite").parquet(f"{target}/batch=-1/prefix=none")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), at).alias("r")).select("r.*")
-        known = _batches(batch.sparkSession, target)
-        if known is not None:
-            # Leave this batch's own rows out, so that a replay writes them again.
-            earlier = known.where(F.col("batch") != batch_id).select(key)
-            batch = batch.join(earlier, key, "left_anti")
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), at).alias("r")).select("r.*").withColumn("prefix", prefix)
+        arrived = [r[0] for r in first.select("prefix").distinct().collect()]  # 16 ** digits at most
+        known = batch.sparkSession.read.parquet(target).where(F.col("prefix").isin(arrived))
+        # This batch's own rows are left out, so that a replay writes them again.
+        earlier = known.where(F.col("batch") != batch_id).select(key)
+        first.join(earlier, key, "left_anti").write.mode("overwrite").partitionBy("prefix").parquet(f"{target}/batch={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -51,24 +45,19 @@ def stream_ingest(
     )
 
 
+def _fold(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("asset_id").agg(F.max(F.struct("file", "seq", "verdict")).alias("r"))
+    return last.select("asset_id", "r.file", "r.seq", "r.verdict")
+
+
 def stream_decisions(feed: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last verdict per asset. Each batch writes the folded state as a new version, made
-    from the newest version before it."""
+    """Keep the last verdict per asset. A batch writes only the assets it names; ``latest_decisions`` folds
+    the batches and ``compact_decisions`` merges them."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         verdict = F.lower("verdict")
         rows = batch.where(verdict.isin(*VERDICTS)).select("asset_id", "file", "seq", verdict.alias("verdict"))
-        known = _batches(spark, target)
-        if known is not None:
-            last = known.where(F.col("version") < batch_id).agg(F.max("version")).first()[0]
-            if last is not None:
-                state = known.where(F.col("version") == last).select("asset_id", "file", "seq", "verdict")
-                rows = rows.unionByName(state)
-        folded = rows.groupBy("asset_id").agg(F.max(F.struct("file", "seq", "verdict")).alias("r")).select(
-            "asset_id", "r.file", "r.seq", "r.verdict"
-        )
-        folded.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        _fold(rows).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
 
     return (
         feed.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
@@ -77,9 +66,13 @@ def stream_decisions(feed: DataFrame, target: str, checkpoint: str) -> Streaming
 
 
 def latest_decisions(spark: SparkSession, target: str) -> DataFrame:
-    versions = spark.read.parquet(target)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
+    return _fold(spark.read.parquet(target))
+
+
+def compact_decisions(spark: SparkSession, target: str, compacted: str) -> DataFrame:
+    """Write the folded state elsewhere, for the caller to switch to; the old versions stay until then."""
+    latest_decisions(spark, target).write.mode("overwrite").parquet(f"{compacted}/version=0")
+    return latest_decisions(spark, compacted)
 
 
 def bursts(events: DataFrame, key: str, at: str, gap: str = "120 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -103,22 +96,19 @@ def funnel(events: DataFrame, key: str, at: str, every: str = "1 hour", delay: s
     )
 
 
+def closing_row(events: DataFrame, at: str, after: str = "interval 2 days") -> DataFrame:
+    """One row of nulls with a time past every other: it moves the watermark on and is never written itself."""
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != at]
+    return events.agg((F.max(at) + F.expr(after)).alias(at)).select(*empty, at).select(*events.columns)
+
+
 def run_to_files(result: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append mode: a window is written once, when the watermark has passed it."""
+    """Append mode: a window is written once, when the watermark has passed it, and leaves the state then.
+
+    A feed that ends is closed by a row far enough ahead (``closing_row``), or its last windows stay open.
+    """
     return (
         result.writeStream.format("parquet").outputMode("append")
         .option("path", target).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-
-
-def run_complete(result: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Complete mode: every batch replaces the written result."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
-    return (
-        result.writeStream.outputMode("complete").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
