@@ -12,8 +12,9 @@ the result names each text's connected component.
    a class with n prefix tokens then stands n - 1 mismatches, and the prefix is extended until all classes
    together stand more mismatches than a link allows. Size bands (ratio 1 / 0.8) are part of every key.
 4. Candidates are verified on the whole sets. A key's documents are first compared with its most central
-   one only; that is enough where they all join its component. Keys that still hold several components
-   are then compared in full across components, so no link that joins components is lost.
+   one only; that is enough where they all join its component. Where they don't, what they have beside
+   that one is indexed in turn, and only pairs whose overlaps with it leave a link possible are
+   verified, so no link that joins components is lost and a large group is not paired in full.
 
 Defined results: null or empty texts have an empty set and stand alone; a null doc_id links with nothing
 and has no component; repeated rows are equal sets.
@@ -27,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleaner.llm import exchange, kernel
 from gleaner.operators.neardup import connected_components
@@ -201,21 +201,50 @@ def _index(alive: DataFrame) -> DataFrame:
     return alive.mapInArrow(keys, KEYS)
 
 
-@F.arrow_udf(T.IntegerType())
-def shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Intersection sizes of sorted sets."""
-    return pa.array([
-        len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
-        for x, y in zip(a, b)
-    ], pa.int32())
+def _overlap(part: pa.RecordBatch) -> list[tuple[int, int, np.ndarray]]:
+    """Per pair: the intersection's size, how many tokens dst has beside src's, and those of them to index.
+
+    Whoever links with dst beyond src's tokens has at least ceil(0.8 n) - hit of the others, so a
+    prefix of them, in the order (class, hash), is enough.
+    """
+    out = []
+    for x, y, k, n in zip(part.column("t_src"), part.column("t_dst"), part.column("k_dst"), part.column("n_dst").to_pylist()):
+        own = np.frombuffer(y.as_buffer(), np.uint64)
+        there, _ = exchange.find(np.frombuffer(x.as_buffer(), np.uint64), own)
+        hit, others = int(there.sum()), own[~there]
+        order = np.lexsort((others, np.frombuffer(k.as_buffer(), np.uint8)[~there]))
+        least = max(1, (PERCENT * n + 99) // 100 - hit)
+        out.append((hit, len(others), others[order][: max(0, len(others) - least + 1)]))
+    return out
+
+
+MEASURED = "src bigint, dst bigint, n_src int, n_dst int, hit int, beside int, others array<bigint>"
+
+
+def _measured(pairs: DataFrame, alive: DataFrame) -> DataFrame:
+    """Pairs (src, dst) with their overlap."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                found = _overlap(part)
+                yield pa.RecordBatch.from_arrays([
+                    *[part.column(c) for c in ("src", "dst", "n_src", "n_dst")], pa.array([f[0] for f in found], pa.int32()),
+                    pa.array([f[1] for f in found], pa.int32()), pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64())),
+                ], ["src", "dst", "n_src", "n_dst", "hit", "beside", "others"])
+
+    src = alive.select(F.col("doc_id").alias("src"), F.col("n").alias("n_src"), F.col("tokens").alias("t_src"))
+    dst = alive.select(F.col("doc_id").alias("dst"), F.col("n").alias("n_dst"), F.col("tokens").alias("t_dst"), F.col("classes").alias("k_dst"))
+    return pairs.join(dst, "dst").join(src, "src").mapInArrow(measure, MEASURED)
+
+
+LINKED = f"hit * {100 + PERCENT} >= (n_src + n_dst) * {PERCENT}"
 
 
 def _verified(pairs: DataFrame, alive: DataFrame) -> DataFrame:
     """Of pairs (src, dst), those that link."""
-    side = lambda name: alive.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"t_{name}"))
-    both = pairs.join(side("dst"), "dst").join(side("src"), "src")
-    hit = both.withColumn("hit", shared("t_src", "t_dst"))
-    return hit.where(F.col("hit") * 100 >= (F.col("n_src") + F.col("n_dst") - F.col("hit")) * PERCENT).select("src", "dst")
+    return _measured(pairs, alive).where(LINKED).select("src", "dst")
 
 
 def _near_size(a: str, b: str):
@@ -223,29 +252,62 @@ def _near_size(a: str, b: str):
     return small * 100 >= large * PERCENT
 
 
+def _in_components(rows: DataFrame, doc: str, groups: DataFrame) -> DataFrame:
+    named = groups.select(F.col("id").alias(doc), F.col("component").alias("_c"))
+    return rows.join(named, doc, "left").withColumn("component", F.coalesce("_c", doc)).drop("_c")
+
+
+def _several(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key still holds several components."""
+    open_ = rows.groupBy(*key).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(*key)
+    return rows.join(open_, key)
+
+
 def links(alive: DataFrame) -> DataFrame:
-    """Enough links (src, dst) between different sets to join every component."""
+    """Enough links (src, dst) between different sets to join every component.
+
+    Every key's documents are measured against its most central one, the head. A link between two documents of
+    one head either uses a token that the head has not, and then they meet under such a token, or
+    all its tokens are the head's, and then both must have enough of those for their sizes.
+    """
     index = _index(alive)
-    heads = index.groupBy("key").agg(F.min(F.struct("dead", "doc", "n")).alias("head"), F.count("*").alias("docs")).where("docs > 1")
-    stars = (
-        index.join(heads.select("key", F.col("head.doc").alias("src"), F.col("head.n").alias("n_src")), "key")
-        .where(F.col("doc") != F.col("src")).where(_near_size("n", "n_src"))
-        .select("src", F.col("doc").alias("dst")).distinct()
+    heads = index.groupBy("key").agg(F.min(F.struct("dead", "n", "doc"))["doc"].alias("src"), F.count("*").alias("docs")).where("docs > 1")
+    stars = index.join(heads.select("key", "src"), "key").where("doc <> src").select("src", F.col("doc").alias("dst")).distinct()
+    measured = cut_lineage(_measured(stars, alive))
+    found = measured.where(LINKED).select("src", "dst")
+    rows = measured.select("src", F.col("dst").alias("doc"), F.col("n_dst").alias("n"), "hit", "beside", "others", F.expr(LINKED).alias("linked"))
+    own = measured.select("src", F.col("src").alias("doc"), F.col("n_src").alias("n"), F.col("n_src").alias("hit"), F.lit(0).alias("beside"),
+                          F.array().cast("array<bigint>").alias("others"), F.lit(True).alias("linked")).distinct()
+    left = cut_lineage(_several(_in_components(rows.unionByName(own), "doc", connected_components(found)), ["src"]))
+    if left.isEmpty():
+        return found
+    by_token = left.select("src", F.explode("others").alias("token"), "doc", "n", "hit", "beside", "component")
+    token_heads = by_token.groupBy("src", "token").agg(F.min(F.struct(-F.col("hit"), "doc"))["doc"].alias("head"), F.count("*").alias("docs")).where("docs > 1")
+    second = by_token.join(token_heads, ["src", "token"]).where("doc <> head").select(F.col("head").alias("src"), F.col("doc").alias("dst")).distinct()
+    found = cut_lineage(found.unionByName(_verified(second, alive)))
+    groups = cut_lineage(connected_components(found))
+    still = cut_lineage(_several(_in_components(by_token.drop("component"), "doc", groups), ["src", "token"]))
+    sides = [still.select("src", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "hit", "beside", "component")]) for s in "ab"]
+    most = F.least("hit_a", "hit_b") + F.least("beside_a", "beside_b")
+    third = (
+        sides[0].join(sides[1], ["src", "token"]).where("doc_a < doc_b AND component_a <> component_b")
+        .where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+        .select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")).distinct()
     )
-    first = cut_lineage(_verified(stars, alive))
-    groups = connected_components(first)
-    placed = (
-        index.join(groups.select(F.col("id").alias("doc"), "component"), "doc", "left")
-        .withColumn("component", F.coalesce("component", "doc"))
+    now = cut_lineage(_several(_in_components(left.drop("component", "others"), "doc", groups), ["src"]))
+    # sizes of partners for which the tokens shared with the head can be enough
+    lowest = now.groupBy("src").agg(F.min("n").alias("n_min"))
+    top = F.floor(F.col("hit") * (100 + PERCENT) / PERCENT) - F.col("n")
+    bottom = F.greatest(F.ceil(F.col("n") * PERCENT / 100), "n_min")
+    lone = now.where("NOT linked").join(lowest, "src").where(bottom <= top).select(
+        "src", F.col("doc").alias("dst"), F.col("n").alias("n_dst"), F.col("component").alias("other"), F.explode(F.sequence(bottom, top)).alias("n")
     )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    left = cut_lineage(placed.join(open_keys, "key").select("key", "doc", "n", "component"))
-    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component")]) for s in "ab")
-    rest = (
-        a.join(b, "key").where("doc_a < doc_b AND component_a <> component_b").where(_near_size("n_a", "n_b"))
-        .select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")).distinct()
+    fourth = (
+        lone.join(now.withColumn("n", F.col("n").cast("bigint")), ["src", "n"]).where("component <> other AND doc <> dst")
+        .where(F.col("hit") * (100 + PERCENT) >= (F.col("n") + F.col("n_dst")) * PERCENT)
+        .select(F.least("doc", "dst").alias("src"), F.greatest("doc", "dst").alias("dst")).distinct()
     )
-    return first.unionByName(_verified(rest, alive))
+    return found.unionByName(_verified(third.unionByName(fourth).distinct(), alive))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
