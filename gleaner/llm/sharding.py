@@ -56,13 +56,21 @@ def capacity_of(shard: Column, total: int, shards: int) -> Column:
 def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Moves rows of (grp, shard, n) towards the shard that holds most of their group.
 
-    No shard ends above its share of ``total`` rows if none starts there.
+    No shard ends above its share of ``total`` rows if none starts there. Rounds take turns: in one a group
+    moves to the shard with most of its rows, in the next to the one with most among those with room, so a
+    group larger than a shard fills one after the other. Two rounds without a move end it.
     """
-    for _ in range(rounds):
+    still = 0
+    for turn in range(rounds):
+        sizes = cells.groupBy("shard").agg(F.sum("n").alias("size"))
+        held = {r["shard"]: r["size"] for r in sizes.collect()}  # a row for each shard
+        full = [s for s in range(shards) if held.get(s, 0) >= total // shards + (s < total % shards)] if turn % 2 else []
+        is_full = F.col("shard").isin(full) if full else F.lit(False)
         # most rows first; among equals the group's own hash decides, so that no shard is favoured
-        best = cells.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard"))["shard"].alias("target"))
-        wish = cut_lineage(cells.join(best, "grp"))
-        sizes = wish.groupBy("shard").agg(F.sum("n").alias("size"))
+        best = cells.where(~is_full).groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard")).alias("b"))
+        best = best.select("grp", F.col("b.shard").alias("target"), F.col("b.n").alias("most"))
+        stays = F.col("target").isNull() | (is_full & (F.col("n") >= F.col("most")))
+        wish = cut_lineage(cells.join(best, "grp", "left").withColumn("target", F.when(stays, F.col("shard")).otherwise(F.col("target"))).drop("most"))
         asked = wish.where("shard <> target").groupBy("shard", "target").agg(F.sum("n").alias("want"))
         back = asked.select(F.col("shard").alias("target"), F.col("target").alias("shard"), F.col("want").alias("back"))
         # at most SHARDS ** 2 rows from here to the quotas
@@ -88,7 +96,8 @@ def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         )
         count = after.agg(F.sum("moved")).first()[0] or 0
         cells = after.select("grp", "shard", "n")
-        if count == 0:
+        still = 0 if count else still + 1
+        if still == 2:
             break
     return cells
 
