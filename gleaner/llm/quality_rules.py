@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BETWEEN = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 WINDOW = 5
 
 
@@ -40,18 +40,23 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
     )
-    return second.withColumn("n_repeat_words", repeat_words(F.col("_words"), F.col("n_words"))).drop("_words")
+    third = second.withColumn("_windows", window_hashes(F.col("_words"), F.col("n_words")))
+    return third.withColumn("n_repeat_words", repeat_words(F.col("_windows"))).drop("_words", "_windows")
 
 
-def repeat_words(words: Column, n_words: Column) -> Column:
+def window_hashes(words: Column, n_words: Column) -> Column:
+    """The hash of every five-word window, in order."""
+    starts = F.when(n_words >= WINDOW, F.sequence(F.lit(0), (n_words - WINDOW).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]))
+
+
+def repeat_words(hashes: Column) -> Column:
     """Words that lie in a five-word window found at least twice in the text.
 
-    Windows are sorted by hash, so equal ones are neighbours: n log n for a text of n words.
+    Most texts have no such window, which a hash set tells. In the others windows are sorted by hash, so
+    equal ones are neighbours: n log n for a text of n words.
     """
-    starts = F.when(n_words >= WINDOW, F.sequence(F.lit(0), (n_words - WINDOW).cast("int"))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(
-        starts, lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]).alias("h"), i.alias("i"))
-    )
+    windows = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
 
     def found(s: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(s) - 1)
@@ -66,7 +71,7 @@ def repeat_words(words: Column, n_words: Column) -> Column:
         lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["upto"], i)).alias("n"), (i + WINDOW).alias("upto")),
         lambda a: a["n"],
     ))
-    return at[0].cast("bigint")
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), at[0]).otherwise(0).cast("bigint")
 
 
 def default_rules() -> dict[str, Column]:
