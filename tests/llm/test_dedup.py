@@ -111,7 +111,7 @@ def random_families(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,frequent", [(1, 5), (2, 1), (3, 2), (4, 1)])
+@pytest.mark.parametrize("seed,frequent", [(2, 1), (3, 2)])
 def test_jaccard_components_match_brute_force(spark, monkeypatch, seed, frequent):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     rows = random_families(seed)
