@@ -233,11 +233,14 @@ SELECT spread, l AS left_items, r AS right_items,
     WHEN l > r THEN 'cluster_plus_feature' ELSE 'balanced_sequence' END AS archetype,
   CASE WHEN l <= 2 THEN 'feature' WHEN l >= 4 THEN 'cluster' ELSE 'sequence' END AS left_role,
   CASE WHEN r <= 3 THEN 1 WHEN r <= 5 THEN 2 ELSE 3 END::BIGINT AS right_weight,
-  ['single_feature', 'two_up', 'three_up', 'four_up', 'five_up', 'six_up', 'seven_gallery'][l] AS left_style FROM sides"""))
+  CASE WHEN r <= 2 THEN 'feature' WHEN r >= 4 THEN 'cluster' ELSE 'sequence' END AS right_role,
+  CASE WHEN l <= 3 THEN 1 WHEN l <= 5 THEN 2 ELSE 3 END::BIGINT AS left_weight,
+  ['single_feature', 'two_up', 'three_up', 'four_up', 'five_up', 'six_up', 'seven_gallery'][l] AS left_style,
+  ['single_feature', 'two_up', 'three_up', 'four_up', 'five_up', 'six_up', 'seven_gallery'][r] AS right_style FROM sides"""))
 def p26_spread_labels(spark, sf_dir):
     return pagination.spread_labels(book_pages(spark, sf_dir)).select(
-        "spread", "left_items", "right_items", "archetype", "left_role",
-        F.col("right_weight").cast("bigint").alias("right_weight"), "left_style",
+        "spread", "left_items", "right_items", "archetype", "left_role", "right_role",
+        *[F.col(c).cast("bigint").alias(c) for c in ("left_weight", "right_weight")], "left_style", "right_style",
     )
 
 
