@@ -56,15 +56,15 @@ def capacity_of(shard: Column, total: int, shards: int) -> Column:
 def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Moves rows of (grp, shard, n) towards the shard that holds most of their group.
 
-    No shard ends above its share of ``total`` rows if none starts there. Rounds take turns: in one a group
-    moves to the shard with most of its rows, in the next to the one with most among those with room, so a
-    group larger than a shard fills one after the other. Two rounds without a move end it.
+    No shard ends above its share of ``total`` rows if none starts there. First a group moves to the shard
+    with most of its rows, then to the one with most among those with room, so a group larger than a shard
+    fills one after the other. A round without a move is followed by one of the first kind; two end it.
     """
     still = 0
     for turn in range(rounds):
         sizes = cells.groupBy("shard").agg(F.sum("n").alias("size"))
         held = {r["shard"]: r["size"] for r in sizes.collect()}  # a row for each shard
-        full = [s for s in range(shards) if held.get(s, 0) >= total // shards + (s < total % shards)] if turn % 2 else []
+        full = [s for s in range(shards) if held.get(s, 0) >= total // shards + (s < total % shards)] if turn and not still else []
         is_full = F.col("shard").isin(full) if full else F.lit(False)
         # most rows first; among equals the group's own hash decides, so that no shard is favoured
         best = cells.where(~is_full).groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard")).alias("b"))

@@ -95,7 +95,8 @@ def test_shards_are_even_and_groups_together(spark):
         shards[text[r["doc_id"]]].add(r["shard"])
     small = [t for t, n in size.items() if 1 < n < 10]
     assert sum(len(shards[t]) for t in small) <= 1.1 * len(small)
-    assert len(shards["hot"]) <= -(-copies // (len(rows) // 24)) + 3
+    # ten shards would hold the group if no other linked rows were in them
+    assert len(shards["hot"]) <= 18
 
 
 def test_shards_of_awkward_rows(spark):
