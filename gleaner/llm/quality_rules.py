@@ -118,4 +118,6 @@ def cascade(docs: DataFrame, rules: Mapping[str, Column] | None = None, order: l
 def keep_good(docs: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:
     """The rows that pass all rules, with their columns as they are."""
     rows = docs.select(F.struct("*").alias("_row"), "text")
-    return cascade(with_base(rows), rules).where("failed IS NULL").select("_row.*")
+    # The row number keeps the filter above the measures: pushed below, it would repeat them for every word.
+    base = with_base(rows).withColumn("_row_no", F.monotonically_increasing_id())
+    return cascade(base, rules).where("failed IS NULL AND _row_no >= 0").select("_row.*")
