@@ -3,7 +3,7 @@
 Words are runs of letters and digits, lower case. A seed is the hash of the words that a mask selects at
 one place; words that it ignores may differ. The seeds of all benchmark items are joined to those of every
 training text; each hit names a pair and an alignment, and along the alignment the longest stretch is
-looked for in which at least 80 % of the words agree. It is an overlap from 13 words on, or over a whole
+looked for in which at least 80 % of the words agree, the first and the last among them. It is an overlap from 13 words on, or over a whole
 item that is shorter. With up to two substitutions, every stretch of 13 words has a hit of these masks.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_WORDS`` words (an item that is larger
@@ -76,12 +76,15 @@ class Block:
 
 
 def longest_agreement(equal: np.ndarray) -> tuple[int, int]:
-    """(start, stop) of the longest stretch with at least 80 % true; the first of several."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
-    low = np.minimum.accumulate(total)
-    start = np.searchsorted(-low, -total, "left")
-    best = int(np.argmax(np.arange(len(total)) - start))
-    return int(start[best]), best
+    """(start, stop) of the longest stretch with at least 80 % true that begins and ends on true; the first of several."""
+    if not equal.any():
+        return 0, 0
+    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -4.0))])
+    low = np.minimum.accumulate(np.where(equal, total[:-1], np.inf))
+    stops = np.flatnonzero(equal) + 1
+    starts = np.searchsorted(-low, -total[stops], "left")
+    best = int(np.argmax(stops - starts))
+    return int(starts[best]), int(stops[best])
 
 
 def _overlaps(batch: pa.RecordBatch, block: Block) -> dict[tuple[int, int], tuple]:
@@ -104,10 +107,6 @@ def _overlaps(batch: pa.RecordBatch, block: Block) -> dict[tuple[int, int], tupl
         first, last = max(0, -d), min(len(own), len(doc) - d)
         equal = own[first:last] == doc[first + d : last + d]
         start, stop = longest_agreement(equal)
-        while start < stop and not equal[start]:
-            start += 1
-        while start < stop and not equal[stop - 1]:
-            stop -= 1
         if stop - start >= max(LEAST_ITEM, min(LEAST_WORDS, len(own))):
             found = (int(stop - start), int(equal[start:stop].sum()), -int(start + first + d), int(start + first))
             best[int(r), int(i)] = max(best.get((int(r), int(i)), found), found)

@@ -166,6 +166,25 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     assert sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(d) for d, _ in texts if d not in hit)
 
 
+def test_a_refused_stretch_hides_no_other_of_its_alignment(spark):
+    # 12 equal words, 12 different, then 13 of which 11 agree: the first stretch is longer with its mismatches, but 12 without
+    equal = [True] * 12 + [False] * 12 + [True] * 4 + [False] + [True] * 4 + [False] + [True] * 3
+    item = [f"q{k}" for k in range(len(equal))]
+    texts = [(0, " ".join(w if e else f"other{k}" for k, (w, e) in enumerate(zip(item, equal))))]
+    rng = random.Random(9)
+    for k in range(1, 60):
+        texts.append((k, " ".join(w if rng.random() < 0.78 else f"other{j}" for j, w in enumerate(item))))
+    items = [(7, " ".join(item))]
+    want = brute_overlaps(texts, items)
+    assert want[0, 7] == 13
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in decontaminate.overlaps(table, bench).collect()}
+    assert got == want
+    clean = decontaminate.decontaminate(table, bench).collect()
+    assert {r["doc_id"] for r in clean} == {d for d, _ in texts} - {d for d, _ in want}
+
+
 def test_decontamination_of_awkward_rows(spark):
     clash = docs(spark).withColumn("item_id", F.lit("x"))
     bench = spark.createDataFrame([(1, "a b"), (None, None)], "item_id bigint, text string")
