@@ -220,6 +220,24 @@ def test_ids_are_those_of_tokenizers(reference):
         assert codec.encode_ordinary(text) == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_long_white_space_are_those_of_tokenizers(spark, reference, monkeypatch):
+    codec = packing.encoder(packing.default_vocabulary())
+    blank = " " * 2_000_000
+    for text in (f"a b{blank}c d", blank, "\n" * 1_200_000 + "x", f"a{blank}\u00a0b\n"):
+        assert packing.token_ids(codec, text) == reference.encode(text, add_special_tokens=False).ids
+    rows = [(1, f"a b{blank}c d"), (2, "e f")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    check_packing(rows, got, reference)
+    monkeypatch.setattr(packing, "LONG_RUN", 2)
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.text(st.sampled_from(" \t\n\r\x1c\x1f\x85\u00a0\u2003\u3000\u200bab's1."), max_size=40))
+    def same(text):
+        assert packing.token_ids(codec, text) == reference.encode(text, add_special_tokens=False).ids
+
+    same()
+
+
 def check_packing(rows, got, reference, length=2048):
     want = collections.Counter()
     ids = {}
