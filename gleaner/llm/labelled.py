@@ -11,18 +11,30 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def _labels(labels: DataFrame, label: str, keep: Column) -> DataFrame:
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(keep)
+        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg(label).alias("y"))
+    )
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def every(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> DataFrame:
+    """(doc_id, text, y) of all labelled documents for which ``keep`` (over doc_id) holds; labels of one document are averaged."""
+    return _texts(docs.where(keep)).join(_labels(labels, label, keep), "doc_id")
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Column) -> DataFrame:
     """(doc_id, text, y) of about ``rows`` labelled documents for which ``keep`` (over doc_id) holds.
 
     Rows are chosen by the hash of doc_id; several labels of one document are averaged. The chosen labels are
     at most 1.2 * rows + 100 rows, which bounds what is broadcast.
     """
-    own = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(keep)
-        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg(label).alias("y"))
-    )
+    own = _labels(labels, label, keep)
     total = own.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = own.where(place < min(1.0, rows / max(total, 1))).limit(int(1.2 * rows) + 100)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return _texts(docs).join(F.broadcast(chosen), "doc_id")

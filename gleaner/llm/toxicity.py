@@ -1,8 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters: a lexicon of words, word beginnings of 5, 7 and 9 bytes (patterns that catch inflected and compounded
-forms) and counts of hits. Lexicon and beginnings are found in a bounded sample of labelled rows (SAMPLE_ROWS):
-those in enough toxic rows of which at least the share PRECISE of their rows is toxic. A voter fires or not. A generative model with the
+forms) and counts of hits. Lexicon and beginnings are counted over all labelled rows: those in at least LEAST_ROWS
+toxic rows of which at least the share PRECISE of their rows is toxic. The OWN_VOTERS commonest are a voter each; the
+others share a voter with those in about as many toxic rows, so that all vote and the voters stay few. A voter fires or
+not. On a bounded sample (SAMPLE_ROWS) a generative model with the
 true class hidden estimates by expectation maximisation how often each voter fires in either class;
 voters whose firings correlate beyond what the class explains share their weight. A linear classifier is
 then trained on the posterior labels, and it alone scores the documents.
@@ -24,9 +26,8 @@ from gleaner.llm import kernel, labelled
 
 SAMPLE_ROWS = 8000
 LEAST_ROWS = 3
-LEAST_SHARE = 0.01
 PRECISE = 0.85
-MAX_VOTERS = 400
+OWN_VOTERS = 400
 BEGINNINGS = (5, 7, 9)
 HITS = (1, 2, 4)
 ROUNDS = 50
@@ -46,18 +47,31 @@ def _marks(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(marks)
 
 
-def fired(texts: pa.Array | pa.ChunkedArray, lexicon: np.ndarray) -> np.ndarray:
-    """Which voters fire on each text: one per lexicon mark, then one per number of distinct hits."""
+def share_voters(toxic: np.ndarray) -> np.ndarray:
+    """The voter of each mark by its number of toxic rows: its own for the commonest, one for each power of two for the others."""
+    order = np.argsort(-toxic, kind="stable")
+    voter = np.empty(len(toxic), np.int64)
+    voter[order] = np.arange(len(toxic))
+    shared = order[OWN_VOTERS:]
+    voter[shared] = OWN_VOTERS + np.unique(np.floor(np.log2(toxic[shared])), return_inverse=True)[1]
+    return voter
+
+
+def fired(texts: pa.Array | pa.ChunkedArray, lexicon: np.ndarray, voter: np.ndarray) -> np.ndarray:
+    """Which voters fire on each text: those of its lexicon marks, then one per number of distinct hits."""
     owner, mark = _marks(texts)
-    votes = np.zeros((len(texts), len(lexicon) + len(HITS)), np.float32)
+    own = int(voter.max(initial=-1)) + 1
+    votes = np.zeros((len(texts), own + len(HITS)), np.float32)
+    distinct = np.zeros(len(texts), np.int64)
     if len(lexicon) and len(mark):
         place = np.searchsorted(lexicon, mark)
         place[place == len(lexicon)] = 0
         hit = lexicon[place] == mark
-        votes[owner[hit], place[hit]] = 1
-    distinct = votes[:, : len(lexicon)].sum(1)
+        text, place = np.divmod(np.unique(owner[hit].astype(np.int64) * len(lexicon) + place[hit]), len(lexicon))
+        votes[text, voter[place]] = 1
+        distinct = np.bincount(text, minlength=len(texts))
     for k, n in enumerate(HITS):
-        votes[:, len(lexicon) + k] = distinct >= n
+        votes[:, own + k] = distinct >= n
     return votes
 
 
@@ -100,13 +114,13 @@ def linear(votes: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndar
 
 
 class Model:
-    """The lexicon's marks in order and the classifier's weights."""
+    """The lexicon's marks in order, their voters and the classifier's weights."""
 
-    def __init__(self, lexicon: np.ndarray, weights: np.ndarray):
-        self.lexicon, self.weights = lexicon, weights
+    def __init__(self, lexicon: np.ndarray, voter: np.ndarray, weights: np.ndarray):
+        self.lexicon, self.voter, self.weights = lexicon, voter, weights
 
     def score(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
-        z = fired(texts, self.lexicon) @ self.weights[:-1] + self.weights[-1]
+        z = fired(texts, self.lexicon, self.voter) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -115,6 +129,7 @@ def _lower(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS) -> Model:
+    """``rows`` bounds the sample of the label model and the classifier; the lexicon is counted over all rows."""
     chosen = _lower(labelled.sample(docs, labels, label, rows, keep))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,29 +142,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int
                 toxic = np.add.reduceat(y[a + pair[:, 1].astype(np.int64)], place) if len(own) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n), pa.array(toxic, pa.float64())], ["mark", "n", "toxic"])
 
-    toxic_rows = chosen.agg(F.sum("y")).first()[0] or 0
-    least = max(LEAST_ROWS, LEAST_SHARE * toxic_rows)
     share = F.col("toxic") / F.col("n")
+    counted = _lower(labelled.every(docs, labels, label, keep)).mapInArrow(count, "mark bigint, n bigint, toxic double")
     found = (
-        chosen.mapInArrow(count, "mark bigint, n bigint, toxic double").groupBy("mark").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .where((F.col("toxic") >= least) & (share >= PRECISE)).orderBy(F.col("toxic").desc(), "mark").limit(MAX_VOTERS)
+        counted.groupBy("mark").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+        .where((F.col("toxic") >= LEAST_ROWS) & (share >= PRECISE)).select("mark", "toxic").toArrow()
     )
-    lexicon = np.sort(np.array([r["mark"] for r in found.collect()], np.int64).view(np.uint64))
+    lexicon, toxic = found.column("mark").to_numpy().view(np.uint64), found.column("toxic").to_numpy()
+    order = np.argsort(lexicon)
+    lexicon, voter = lexicon[order], share_voters(toxic[order])
+    voters = int(voter.max(initial=-1)) + 1 + len(HITS)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in kernel.blocks(batch, "text"):
                 part = batch.slice(a, b - a)
-                votes = fired(part.column("text"), lexicon).astype(np.uint8)
+                votes = fired(part.column("text"), lexicon, voter).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([v.tobytes() for v in votes], pa.binary())], ["doc_id", "y", "votes"])
 
     table = chosen.mapInArrow(vote, "doc_id bigint, y double, votes binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    votes = np.frombuffer(b"".join(table.column("votes").to_pylist()), np.uint8).reshape(-1, len(lexicon) + len(HITS)).astype(np.float64)
+    votes = np.frombuffer(b"".join(table.column("votes").to_pylist()), np.uint8).reshape(-1, voters).astype(np.float64)
     if not len(votes) or not len(lexicon):
         base = float(np.mean(table.column("y").to_numpy())) if len(votes) else 0.0
-        return Model(lexicon, np.concatenate([np.zeros(len(lexicon) + len(HITS)), [np.log(max(base, 1e-4) / (1 - min(base, 0.9999)))]]))
+        return Model(lexicon, voter, np.concatenate([np.zeros(voters), [np.log(max(base, 1e-4) / (1 - min(base, 0.9999)))]]))
     post, _ = label_model(votes, float(table.column("y").to_numpy().mean()))
-    return Model(lexicon, linear(votes, post))
+    return Model(lexicon, voter, linear(votes, post))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -96,6 +96,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert balanced(registered.QUERIES["op9_toxicity"](spark, folder), label) >= 0.9
 
 
+def test_toxic_words_in_few_of_many_rows_vote(spark):
+    rng = np.random.default_rng(4)
+    plain, common, rare = ([f"{k}{j}" for j in range(n)] for k, n in (("p", 300), ("c", 450), ("r", 30)))
+    rows, labels = [], []
+    for i in range(6000):
+        bad = i % 6 == 0
+        own = rng.choice(plain, 12).tolist()
+        if bad:  # 120 rows have nothing but a rare word, each of which is in four rows
+            own[3] = rare[i // 6 % 30] if i < 720 else ""
+            own[5:8] = own[5:8] if i < 720 else rng.choice(common, 3).tolist()
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(bad)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id bigint, toxic int"), "toxic", F.lit(True), rows=1500)
+    asked = [" ".join([*rng.choice(plain, 11), w]) for w in rare] + [" ".join(rng.choice(plain, 12)) for _ in range(100)]
+    got = model.score(pa.array(asked))
+    assert (got[:30] >= 0.3).all() and (got[30:] < 0.3).all()
+
+
 def test_cosine_votes_match_brute_force():
     rng = np.random.default_rng(0)
     x, y = np.abs(rng.standard_normal((60, quality_knn.WIDTH))).astype(np.float32), (rng.random(60) < 0.5).astype(float)
