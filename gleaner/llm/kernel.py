@@ -130,11 +130,11 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
     return mix(value[begin]), begin
 
 
-def blocks(table: pa.Table | pa.RecordBatch, text: str, size: int = 4 << 20):
-    """Row ranges (start, stop) of about ``size`` text bytes, at least one row each."""
+def blocks(table: pa.Table | pa.RecordBatch, text: str, size: int = 4 << 20, rows: int = 2000):
+    """Row ranges (start, stop) of about ``size`` text bytes and at most ``rows`` rows, at least one row each."""
     _, offsets = text_buffers(table.column(text))
     row = 0
     while row < table.num_rows:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        stop = max(row + 1, min(row + rows, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1))
         yield row, stop
         row = stop

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    decontaminate, html_text, jaccard_join, labelled, language_id, packing, quality_knn, quality_rules, sharding, substring_dedup, toxicity,
+    decontaminate, fim, html_text, jaccard_join, labelled, language_id, packing, prefix_hash, quality_knn, quality_rules, reversed_search,
+    sharding, substring_dedup, toxicity,
 )
 from gleaner.llm.reach import reachable
 
@@ -165,3 +166,69 @@ def op7_html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     out = html_text.extract(pages, html_text.train(pages))
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op11_fim_fenwick", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+),
+draw AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 AS plain,
+    ('0x' || h[25:32])::BIGINT % 100 < 80 AS spm
+  FROM d
+),
+cut AS (
+  SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+    array_to_string(u[greatest(c1, c2) + 1:], '') AS s
+  FROM draw
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m
+    ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+""")
+def op11_fim_fenwick(spark, sf_dir):
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_prefix_hashes")
+def op12_prefix_hashes(spark, sf_dir):
+    return prefix_hash.edited(table(spark, sf_dir, "documents"))
+
+
+@query("op13_reversed_search", r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL
+),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+),
+wanted AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+total AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, r, len(t) AS n, term, count(*) AS tf FROM (SELECT doc_id, r, t, unnest(t) AS term FROM d) WHERE term IN (FROM (SELECT term FROM wanted)) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+part AS (
+  SELECT item_id, doc_id, r, sum(times * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN df USING (term), total GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM part WHERE score > 0
+) WHERE rank <= 10
+""")
+def op13_reversed_search(spark, sf_dir):
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
