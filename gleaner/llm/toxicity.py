@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters: a lexicon of words, word beginnings of 5, 7 and 9 bytes (patterns that catch inflected and compounded
-forms) and counts of hits. Lexicon and beginnings are counted over all labelled rows: those in at least LEAST_ROWS
+forms) and counts of hits. Lexicon and beginnings are counted over at most about LEXICON_ROWS labelled rows, half of them for
+each class (all labelled rows up to that number): those in at least LEAST_ROWS
 toxic rows of which at least the share PRECISE of their rows is toxic. The OWN_VOTERS commonest are a voter each; the
 others share a voter with those in about as many toxic rows, so that all vote and the voters stay few. A voter fires or
 not. On a bounded sample (SAMPLE_ROWS) a generative model with the
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import kernel, labelled
 
 SAMPLE_ROWS = 8000
+LEXICON_ROWS = 200_000
 LEAST_ROWS = 3
 PRECISE = 0.85
 OWN_VOTERS = 400
@@ -128,8 +130,8 @@ def _lower(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.lower(F.col("text").cast("string")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS) -> Model:
-    """``rows`` bounds the sample of the label model and the classifier; the lexicon is counted over all rows."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS, lexicon_rows: int = LEXICON_ROWS) -> Model:
+    """``rows`` bounds the sample of the label model and the classifier, ``lexicon_rows`` the rows of the lexicon's counts."""
     chosen = _lower(labelled.sample(docs, labels, label, rows, keep))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n), pa.array(toxic, pa.float64())], ["mark", "n", "toxic"])
 
     share = F.col("toxic") / F.col("n")
-    counted = _lower(labelled.every(docs, labels, label, keep)).mapInArrow(count, "mark bigint, n bigint, toxic double")
+    counted = _lower(labelled.by_class(docs, labels, label, lexicon_rows, keep)).mapInArrow(count, "mark bigint, n bigint, toxic double")
     found = (
         counted.groupBy("mark").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
         .where((F.col("toxic") >= LEAST_ROWS) & (share >= PRECISE)).select("mark", "toxic").toArrow()
