@@ -12,32 +12,46 @@ from gleaner.llm.reach import reachable
 from gleaner.session import checkpoint_dir
 
 
+# All stages follow each other on the same executors, beside the memory that earlier ones still hold: small Arrow
+# batches, row groups and chunks in every stage.
+BUFFERS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "parquet.block.size": str(16 << 20)}
+CHUNK_BYTES = 10 << 20
+
+
+def small_buffers(spark: SparkSession) -> SparkSession:
+    """Session settings that a stage's job reads when it runs, so they stay set in the pipeline's session."""
+    for key, value in BUFFERS.items():
+        spark.conf.set(key, value)
+    return reachable(spark)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the quality rules."""
+    small_buffers(spark)
     return quality_rules.keep_good(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the row with the smallest doc_id; a null doc_id is in no group."""
-    reachable(spark)
+    small_buffers(spark)
     groups = jaccard_join.jaccard_components(docs)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; n_chars follows."""
-    reachable(spark)
-    return substring_dedup.cut_repeats(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    small_buffers(spark)
+    return substring_dedup.cut_repeats(docs, chunk_bytes=CHUNK_BYTES).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no passage with a benchmark item."""
-    return decontaminate.decontaminate(docs, reachable(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.decontaminate(docs, small_buffers(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of token sequences, with their ids."""
-    reachable(spark)
+    small_buffers(spark)
     return packing.pack(docs)
 
 

@@ -163,6 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for r, _ in _overlaps(batch.slice(a, b - a), shared.value):
                         clean[a + r] = False
                 yield batch.filter(pa.array(clean)).drop_columns(["_plain"])
+            kernel.give_back()
 
         docs = docs.withColumn("_plain", _plain("text")).mapInArrow(scan, schema)
     return docs

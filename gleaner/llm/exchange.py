@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm import kernel
+
 CHUNK_BYTES = 24 << 20
 BUCKET_BYTES = 8 << 20
 LOWEST = -(1 << 63)
@@ -61,10 +63,10 @@ def find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
 class Ranges:
     """Bounds of the doc_id ranges and the number of hash ranges for one input."""
 
-    def __init__(self, docs: DataFrame, bytes_per_value: float, value_bytes: float):
+    def __init__(self, docs: DataFrame, bytes_per_value: float, value_bytes: float, chunk_bytes: int = CHUNK_BYTES):
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        chunks = max(tasks, math.ceil(total / CHUNK_BYTES))
+        chunks = max(tasks, math.ceil(total / chunk_bytes))
         at = [(i + 1) / chunks for i in range(chunks - 1)]
         found = (
             docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(x) for x in at]), F.lit(max(10_000, 20 * chunks))).alias("b")).first()[0]
@@ -130,6 +132,8 @@ def answers(sent: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarra
         for c in np.unique(chunks[wanted]):
             own = wanted & (chunks == c)
             rows.append((bucket, int(c), encode(values[own], tags[own])))
+        del values, counts, chunks, order, new, heads, parts
+        kernel.give_back()
         return pa.Table.from_batches([fragment_batch(rows)])
 
     return sent.groupBy("bucket").applyInArrow(merge, FRAGMENT)

@@ -7,6 +7,8 @@ by the segment and not by the longest text.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,11 +132,23 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
     return mix(value[begin]), begin
 
 
-def blocks(table: pa.Table | pa.RecordBatch, text: str, size: int = 4 << 20, rows: int = 2000):
+def blocks(table: pa.Table | pa.RecordBatch, text: str, size: int = 2 << 20, rows: int = 2000):
     """Row ranges (start, stop) of about ``size`` text bytes and at most ``rows`` rows, at least one row each."""
-    _, offsets = text_buffers(table.column(text))
+    column = table.column(text)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size_of = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(size_of, dtype=np.int64)])
     row = 0
     while row < table.num_rows:
         stop = max(row + 1, min(row + rows, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1))
         yield row, stop
         row = stop
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker outlives its tasks and stands beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

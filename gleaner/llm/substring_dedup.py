@@ -60,21 +60,21 @@ def _spans(gone: np.ndarray) -> list[dict]:
     return [{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: bool = False, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, spans of removed words, kept words joined by a space), a row per document.
 
-    With ``carry`` each row also has its input row as the struct ``row``.
+    With ``carry`` each row also has its input row as the struct ``row``. ``chunk_bytes`` is how much text a task settles at once.
     """
     extra = [F.struct("*").alias("row")] if carry else []
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     result = StructType.fromDDL(RESULT)
     if carry:
         result = result.add(docs.schema["row"])
-    ranges = exchange.Ranges(docs, bytes_per_value=5.5, value_bytes=6)
+    ranges = exchange.Ranges(docs, bytes_per_value=5.5, value_bytes=6, chunk_bytes=chunk_bytes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in kernel.blocks(batch, "text", 16 << 20):
+            for a, b in kernel.blocks(batch, "text", 8 << 20, 10_000):
                 part = batch.slice(a, b - a)
                 words, value, begin = _windows(part.column("text"), width)
                 chunk = ranges.chunk_of(part.column("doc_id"))[words.owner()[begin]]
@@ -115,6 +115,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: bool = False) ->
                 out["kept"].append(b" ".join(compress(words, ~own) if removed else words).decode())
                 row += 1
         found = pa.Table.from_pydict(out, schema=ARROW)
+        del out, kept_windows, value, owner, order, group, gone_window, earlier
+        kernel.give_back()
         return found.append_column("row", rows.column("row")) if carry else found
 
     replies = exchange.answers(docs.mapInArrow(send, exchange.FRAGMENT), _repeated_before)
@@ -122,11 +124,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: bool = False) ->
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(settle, result)
 
 
-def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
     """``docs`` without repeated passages, columns as they are; rows that lose every word go.
 
     A text that loses nothing stays as it is, white space included; others are their kept words joined by a space.
     """
-    out = remove_repeats(docs, width, carry=True).where("n_removed = 0 OR n_removed < n_words")
+    out = remove_repeats(docs, width, carry=True, chunk_bytes=chunk_bytes).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     return out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
