@@ -157,6 +157,7 @@ class Fingerprint:
 
     def __init__(self, places: np.ndarray, hashes: np.ndarray, ranks: np.ndarray, rank: int):
         self.places, self.hashes, self.ranks, self.rank = places, hashes, ranks, rank
+        self._letters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def of(cls, text: str | None, most: int = PLACES) -> Fingerprint:
@@ -193,15 +194,21 @@ class Fingerprint:
 
     def letters(self, rank: int) -> tuple[np.ndarray, np.ndarray]:
         """Length and hash of every span between neighbouring places of at least this rank."""
-        kept = self.ranks >= rank
-        places, hashes = self.places[kept], self.hashes[kept]
-        size = np.diff(places, prepend=0)
-        before = np.concatenate([np.zeros((1, 2), np.uint64), hashes[:-1]])
-        out = []
-        for which, p in enumerate(PRIMES):
-            shift = np.array([pow(BASES[which], int(s), p) for s in size], np.uint64)
-            out.append((hashes[:, which] + np.uint64(p) - before[:, which] * shift % np.uint64(p)) % np.uint64(p))
-        return size, out[0] << np.uint64(31) | out[1]
+        if rank not in self._letters:
+            kept = self.ranks >= rank
+            places, hashes = self.places[kept], self.hashes[kept]
+            size = places.copy()
+            size[1:] -= places[:-1]
+            out = []
+            for which, p in enumerate(PRIMES):
+                shift = _powers(SEGMENT, which)[0][np.minimum(size, SEGMENT)]
+                for k in np.flatnonzero(size > SEGMENT):
+                    shift[k] = pow(BASES[which], int(size[k]), p)
+                own = hashes[:, which].copy()
+                own[1:] += np.uint64(p) - hashes[:-1, which] * shift[1:] % np.uint64(p)
+                out.append(own % np.uint64(p))
+            self._letters[rank] = size, out[0] << np.uint64(31) | out[1]
+        return self._letters[rank]
 
 
 def likeness(one: Fingerprint, two: Fingerprint) -> float:
@@ -210,19 +217,18 @@ def likeness(one: Fingerprint, two: Fingerprint) -> float:
         return 1.0
     rank = max(one.rank, two.rank)
     (size, letter), (size_two, letter_two) = one.letters(rank), two.letters(rank)
+    keys, keys_two = list(zip(size.tolist(), letter.tolist())), list(zip(size_two.tolist(), letter_two.tolist()))
+    if set(keys).isdisjoint(keys_two):
+        return 0.0
     found: dict[tuple[int, int], list[int]] = {}
-    for j, key in enumerate(zip(size_two.tolist(), letter_two.tolist())):
+    for j, key in enumerate(keys_two):
         found.setdefault(key, []).append(j)
-    keys = list(zip(size.tolist(), letter.tolist()))
-    if not any(k in found for k in keys):
-        return 0.0
-    names = {key: i for i, key in enumerate(dict.fromkeys([*keys, *found]))}
-    here = Prefixes(np.array([names[k] for k in keys]))
-    there = Prefixes(np.array([names[k] for k in zip(size_two.tolist(), letter_two.tolist())]))
+    names = {key: i for i, key in enumerate(dict.fromkeys(keys + keys_two))}
+    here, there = (Prefixes(np.array([names[k] for k in own])) for own in (keys, keys_two))
     runs = []
     for i, key in enumerate(keys):
         for j in found.get(key, ()):
-            if not (i and j and keys[i - 1] == (int(size_two[j - 1]), int(letter_two[j - 1]))):
+            if not (i and j and keys[i - 1] == keys_two[j - 1]):
                 runs.append((here.extension(i, there, j), i, j))
     used, used_two, common = np.zeros(len(size), bool), np.zeros(len(size_two), bool), 0
     for run, i, j in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
@@ -352,7 +358,7 @@ def edited(docs: DataFrame) -> DataFrame:
     ))
     dealt = keyed.select("doc_id", "text", "id", "hash", places.alias("at")).select("doc_id", "text", "id", "hash", "at.part", "at.guest")
     return (
-        dealt.repartition(len(ranges.ids) + 1, "part").sortWithinPartitions("part", "guest", F.desc("id"), F.desc("hash"))
+        dealt.repartitionById(len(ranges.ids) + 1, "part").sortWithinPartitions("part", "guest", F.desc("id"), F.desc("hash"))
         .select("part", "guest", "doc_id", "text").mapInArrow(work, EDITED)
     )
 
