@@ -175,5 +175,52 @@ def first_shared_blocks(a: Column, b: Column, max_distance: int, equal_blocks: i
     return agree - rest
 
 
+def probe_radii(max_distance: int, blocks: int) -> list[int]:
+    """How many bits may differ in each block, -1 for none, so that words within ``max_distance`` meet in one block.
+
+    With distance = blocks * s + a the first a + 1 blocks stand s bits and the others s - 1: words that exceed
+    that everywhere differ in more than ``max_distance`` bits together.
+    """
+    s, a = divmod(max_distance, blocks)
+    return [s if i <= a else s - 1 for i in range(blocks)]
+
+
+def probe_cost(max_distance: int, blocks: int, pool: int) -> float:
+    """Rows that a word of a pool causes: its probes, and the words that they meet by chance."""
+    cost = 0.0
+    for (_, width), radius in zip(block_bounds(blocks), probe_radii(max_distance, blocks)):
+        probes = sum(math.comb(width, k) for k in range(radius + 1))
+        cost += probes + probes * pool / 2**width
+    return cost
+
+
+def blocks_for_pool(max_distance: int, pool: int) -> int:
+    """The number of blocks with the least cost for pools of about this many different words."""
+    return min(range(3, max_distance + 2), key=lambda m: probe_cost(max_distance, m, pool))
+
+
+def probe_masks(max_distance: int, blocks: int, probing: bool) -> Column:
+    """Constant array of (block, mask, flip). Index rows have a flip of 0; probing rows every flip within the radius."""
+    rows = []
+    for i, ((shift, width), radius) in enumerate(zip(block_bounds(blocks), probe_radii(max_distance, blocks))):
+        mask = ((1 << width) - 1) << shift
+        for k in range(radius + 1 if probing else min(radius + 1, 1)):
+            for bits in combinations(range(shift, shift + width), k):
+                rows.append((i, _signed(mask), _signed(sum(1 << b for b in bits))))
+    return F.array(*[
+        F.struct(F.lit(i).alias("block"), F.lit(m).cast("bigint").alias("mask"), F.lit(f).cast("bigint").alias("flip")) for i, m, f in rows
+    ])
+
+
+def first_probed_block(a: Column, b: Column, max_distance: int, blocks: int) -> Column:
+    """The lowest block in which both words are within its radius, so that a pair is kept once."""
+    diff, tests = a.bitwiseXOR(b), []
+    for i, ((shift, width), radius) in enumerate(zip(block_bounds(blocks), probe_radii(max_distance, blocks))):
+        if radius >= 0:
+            own = diff.bitwiseAND(F.lit(_signed(((1 << width) - 1) << shift)).cast("bigint"))
+            tests.append(F.when(F.bit_count(own) <= radius, F.lit(i)))
+    return F.coalesce(*tests)
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask

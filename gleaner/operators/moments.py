@@ -126,3 +126,71 @@ def same_moment_pairs(placed: DataFrame, distance: int = 14) -> DataFrame:
         F.col("a.page").alias("page"), F.col("a.asset_id").alias("asset_a"),
         F.col("b.asset_id").alias("asset_b"), apart.alias("distance"),
     )
+
+
+def _day_nodes(assets: DataFrame) -> DataFrame:
+    """One row per (day, fingerprint) with its smallest id and the number of its rows."""
+    return (
+        assets.select("asset_id", "phash", F.substring("best_datetime", 1, 10).alias("day"))
+        .where("phash IS NOT NULL AND day <> ''")
+        .groupBy("day", "phash").agg(F.min("asset_id").alias("node"), F.count("*").alias("members"))
+    )
+
+
+def day_candidates(assets: DataFrame, distance: int = 14, pool: int = 1000) -> DataFrame:
+    """Pairs of different fingerprints of one calendar day that the probes bring together, each as often as they do.
+
+    A threshold this wide leaves equal-block keys of four bits. Words are cut into few long blocks instead; one side is indexed
+    by every block, the other probes it with all values within the block's radius (multi-index hashing, Norouzi et
+    al.). ``pool`` is the declared number of different fingerprints of a large day; it sets the number of
+    blocks, never the result. A hot day is dealt over all its block values.
+    """
+    blocks = hashing.blocks_for_pool(distance, pool)
+    nodes = _day_nodes(assets)
+
+    def side(probing: bool) -> DataFrame:
+        rows = nodes.select("*", F.inline(hashing.probe_masks(distance, blocks, probing)))
+        key = F.col("phash").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
+        return rows.select("day", "block", key.alias("key"), "phash", "node", "members")
+
+    a, b = side(False).alias("a"), side(True).alias("b")
+    return a.join(
+        b,
+        (F.col("a.day") == F.col("b.day")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.node") < F.col("b.node")),
+    ).select(
+        F.col("a.day").alias("day"), F.col("a.block").alias("block"), F.col("a.node").alias("asset_a"), F.col("b.node").alias("asset_b"),
+        F.col("a.members").alias("members_a"), F.col("b.members").alias("members_b"), F.col("a.phash").alias("phash_a"),
+        F.col("b.phash").alias("phash_b"), F.lit(blocks).alias("blocks"),
+    )
+
+
+def day_pairs(assets: DataFrame, distance: int = 14, pool: int = 1000) -> DataFrame:
+    """(day, asset_a, asset_b, distance, members_a, members_b): near fingerprints of one calendar day, without a page limit.
+
+    A fingerprint stands for all its rows of that day (``members``), named by the smallest id; rows of one fingerprint are at
+    distance 0 and are not paired. Rows without a fingerprint or a date are in no pair.
+    """
+    found = day_candidates(assets, distance, pool)
+    a, b = F.col("phash_a"), F.col("phash_b")
+    apart = hashing.hamming64(a, b)
+    first = hashing.first_probed_block(a, b, distance, hashing.blocks_for_pool(distance, pool))
+    return found.where((apart <= distance) & (F.col("block") == first)).select(
+        "day", "asset_a", "asset_b", apart.alias("distance"), "members_a", "members_b"
+    )
+
+
+def day_probe_report(assets: DataFrame, distance: int = 14, pool: int = 1000) -> DataFrame:
+    """(day, fingerprints, pairs, candidates, found) of every day: what the probes save against all pairs of a day."""
+    nodes = _day_nodes(assets).groupBy("day").agg(F.count("*").alias("fingerprints"))
+    tried = day_candidates(assets, distance, pool)
+    apart = hashing.hamming64(F.col("phash_a"), F.col("phash_b"))
+    first = hashing.first_probed_block(F.col("phash_a"), F.col("phash_b"), distance, hashing.blocks_for_pool(distance, pool))
+    sums = tried.groupBy("day").agg(
+        F.count("*").alias("candidates"), F.count_if((apart <= distance) & (F.col("block") == first)).alias("found")
+    )
+    n = F.col("fingerprints")
+    return nodes.join(sums, "day", "left").select(
+        "day", "fingerprints", (n * (n - 1) / 2).cast("bigint").alias("pairs"),
+        F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("found", F.lit(0)).alias("found"),
+    )

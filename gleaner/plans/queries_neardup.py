@@ -293,3 +293,30 @@ edges AS (
 )
 def a4_moment_clusters(spark, sf_dir):
     return moments.moment_clusters(signal_view(spark, sf_dir), CONFIG.dedup.max_distance)
+
+
+DAY_NODES = """, dated AS (
+  SELECT left(a.best_datetime, 10) AS day, f.hi, f.lo, min(a.asset_id) AS node, count(*) AS members
+  FROM assets a JOIN fp f USING (asset_id) WHERE f.hi IS NOT NULL AND left(a.best_datetime, 10) <> '' GROUP BY ALL
+)"""
+
+
+@query(
+    "j4_day_pairs",
+    sql(DAY_NODES + f"""
+SELECT a.day, a.node AS asset_a, b.node AS asset_b, ({NEAR})::BIGINT AS distance, a.members AS members_a, b.members AS members_b
+FROM dated a JOIN dated b ON a.day = b.day AND a.node < b.node AND {NEAR} <= 14""", signals=True),
+)
+def j4_day_pairs(spark, sf_dir):
+    return moments.day_pairs(signal_view(spark, sf_dir))
+
+
+@query(
+    "j4_day_probes",
+    sql(DAY_NODES + f"""
+SELECT a.day, count(DISTINCT a.node) AS fingerprints, count(DISTINCT a.node) * (count(DISTINCT a.node) - 1) // 2 AS pairs,
+  count(*) FILTER (a.node < b.node AND {NEAR} <= 14) AS found
+FROM dated a JOIN dated b ON a.day = b.day GROUP BY a.day""", signals=True),
+)
+def j4_day_probes(spark, sf_dir):
+    return moments.day_probe_report(signal_view(spark, sf_dir)).drop("candidates")

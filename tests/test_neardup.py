@@ -202,3 +202,43 @@ def test_components_of_text_and_number_ids_agree(spark):
     found = {r["id"]: r["component"] for r in neardup.connected_components(spark.createDataFrame(texts, "src string, dst string")).collect()}
     assert found == {f"{k:05d}": f"{v:05d}" for k, v in numbers.items()}
     assert numbers[120] == 100 and numbers[50] == 3
+
+
+@pytest.mark.parametrize("pool", [10, 1000, 100_000])
+def test_day_pairs_against_all_pairs(spark, pool):
+    rng = random.Random(pool)
+    words = [rng.getrandbits(64) for _ in range(25)]
+    rows = []
+    for i in range(260):
+        word = rng.choice(words)
+        for bit in rng.sample(range(64), rng.choice([0, 3, 8, 13, 14, 15, 20])):
+            word ^= 1 << bit
+        signed = word - (1 << 64) if word >> 63 else word
+        day = rng.choice(["2020-01-01", "2020-01-01", "2020-01-02", "", None])
+        rows.append((f"a{i:03d}", None if i % 40 == 0 else signed, None if day is None else f"{day}T10:00:00" if day else ""))
+    rows += [(f"z{i}", rows[1][1], "2020-01-01T00:00:00") for i in range(50)]
+    assets = spark.createDataFrame(rows, "asset_id string, phash bigint, best_datetime string")
+    nodes = {}
+    for name, word, when in rows:
+        if word is not None and when:
+            nodes.setdefault((when[:10], word), []).append(name)
+    flat = [(day, word, min(names), len(names)) for (day, word), names in nodes.items()]
+    want = {
+        (d, a, b, ((x ^ y) & ((1 << 64) - 1)).bit_count(), m, n)
+        for d, x, a, m in flat for e, y, b, n in flat if d == e and a < b and ((x ^ y) & ((1 << 64) - 1)).bit_count() <= 14
+    }
+    got = [tuple(r) for r in moments.day_pairs(assets, 14, pool).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    report = {r["day"]: r for r in moments.day_probe_report(assets, 14, pool).collect()}
+    for day in ("2020-01-01", "2020-01-02"):
+        n = sum(d == day for d, *_ in flat)
+        assert (report[day]["fingerprints"], report[day]["pairs"]) == (n, n * (n - 1) // 2)
+        assert report[day]["found"] == sum(w[0] == day for w in want)
+
+
+def test_probes_are_fewer_than_pairs_in_large_pools():
+    for pool in (1000, 10_000, 1_000_000):
+        blocks = hashing.blocks_for_pool(14, pool)
+        assert hashing.probe_cost(14, blocks, pool) < pool / 2
+    assert hashing.blocks_for_pool(14, 1_000_000) < hashing.blocks_for_pool(14, 1000)
+    assert hashing.probe_radii(14, 6) == [2, 2, 2, 1, 1, 1]
