@@ -90,7 +90,7 @@ def compose(
         F.col("page_number").alias("page"), F.col("cell").alias("pos"), "asset_id", F.col("w").alias("px_w"),
         F.col("h").alias("px_h"), weight.alias("weight"), F.col("opener").alias("title"),
     )
-    found = layout.recipe_candidates(layout.page_rows(items, 4), layout.default_recipes(spark), layout.order_table(spark, 4))
+    found = layout.strip_candidates(layout.page_rows(items), layout.default_recipes(spark))
     sides = book.select(F.col("page_number").alias("page"), "spread", "side", "chapter", "opener").distinct()
     laid = cut_lineage(layout.align_pair(layout.facing_pair(found.join(sides.drop("chapter", "opener"), "page"))))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import flags, geometry
@@ -125,6 +126,77 @@ def l3_recipe_candidates(spark, sf_dir):
     )
 
 
+FULL_PAGES = """WITH RECURSIVE lines AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1 AS n FROM lineitem
+), items AS (
+  SELECT l_orderkey || '/' || n // 7 AS page, n % 7 AS pos, count(*) OVER (PARTITION BY l_orderkey, n // 7) AS k, 200 + p_size * 60 AS px_w, 300 + p_partkey % 50 * 70 AS px_h,
+    (200 + p_size * 60) / (300 + p_partkey % 50 * 70) AS ratio, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 ELSE 0 END AS weight,
+    o_orderpriority = '1-URGENT' AND n < 7 AS title
+  FROM lines JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
+), recipes(no, sizes) AS (VALUES
+  (0, [1]), (0, [1, 1]), (1, [2]), (0, [1, 2]), (1, [2, 1]), (2, [3]), (0, [2, 2]), (1, [1, 3]), (2, [3, 1]),
+  (0, [2, 3]), (1, [3, 2]), (2, [1, 2, 2]), (3, [2, 2, 1]), (4, [1, 4]), (5, [4, 1]),
+  (0, [3, 3]), (1, [2, 2, 2]), (2, [1, 2, 3]), (3, [3, 2, 1]), (4, [2, 4]), (5, [4, 2]),
+  (0, [3, 4]), (1, [4, 3]), (2, [2, 3, 2]), (3, [1, 3, 3]), (4, [3, 3, 1])
+), deal(no, sizes, strip) AS (
+  SELECT no, sizes, []::INTEGER[] FROM recipes
+  UNION ALL
+  SELECT no, sizes, list_append(strip, s) FROM deal, (SELECT unnest(range(0, 4))::INTEGER AS s)
+  WHERE len(strip) < list_sum(sizes) AND s < len(sizes) AND len(list_filter(strip, lambda x: x = s)) < sizes[s + 1]
+), dealt AS (
+  SELECT no, sizes, strip, list_sum(sizes) AS k, row_number() OVER () AS c FROM deal WHERE len(strip) = list_sum(sizes)
+), cand AS (
+  SELECT page, title, c, i.k, 2 * no + CASE WHEN in_rows THEN 0 ELSE 1 END AS recipe_no, in_rows, strip[pos + 1] AS s, ratio, px_w, px_h, weight,
+    CASE WHEN in_rows THEN ratio ELSE 1 / ratio END AS r, 11.76 - CASE WHEN title THEN 0.65 ELSE 0 END AS uh
+  FROM items i JOIN dealt d ON d.k = i.k, (VALUES (true), (false)) o(in_rows)
+  WHERE NOT title OR strip[1] = 0
+), thick AS (
+  SELECT page, c, in_rows, s, any_value(uh) AS uh, (any_value(CASE WHEN in_rows THEN 11.76 ELSE uh END) - 0.05 * (count(*) - 1)) / sum(r) AS t
+  FROM cand GROUP BY page, c, in_rows, s
+), shrink AS (
+  SELECT page, c, in_rows, least(1, any_value(CASE WHEN in_rows THEN uh ELSE 11.76 END) / greatest(0.0001, sum(t) + 0.05 * (count(*) - 1))) AS by_
+  FROM thick GROUP BY page, c, in_rows
+), cells AS (
+  SELECT cand.*, round(CASE WHEN in_rows THEN r * t * by_ ELSE t * by_ END, 4) AS w, round(CASE WHEN in_rows THEN t * by_ ELSE r * t * by_ END, 4) AS h
+  FROM cand JOIN thick USING (page, c, in_rows, s) JOIN shrink USING (page, c, in_rows)
+), fit AS (
+  SELECT *, CASE WHEN ratio >= w / h THEN w ELSE h * ratio END AS pw, CASE WHEN ratio >= w / h THEN w / ratio ELSE h END AS ph FROM cells
+), per AS (
+  SELECT page, c, recipe_no, any_value(k) AS k, sum(pw * ph) AS area, sum(greatest(0, 240 - least(px_w / pw, px_h / ph))) AS deficit,
+    sum(pw * ph) + 0.6 * sum(weight * pw * ph) - 50 * sum(greatest(0, 240 - least(px_w / pw, px_h / ph))) AS score
+  FROM fit GROUP BY page, c, recipe_no
+)
+SELECT page, recipe_no::BIGINT AS recipe_no, max(k)::BIGINT AS k, round(max(score) / 50 + 0.0123456, 0) AS points FROM per GROUP BY page, recipe_no"""
+
+
+def order_items(spark, sf_dir):
+    """Orders as pages of one to seven items, longer ones on several pages; their parts are the pictures."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("n", place - 1).withColumn("sheet", F.floor(F.col("n") / 7))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), (200 + F.col("p_size") * 60).alias("px_w"), (300 + F.col("p_partkey") % 50 * 70).alias("px_h")
+    )
+    titles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderpriority") == "1-URGENT").alias("title"))
+    weight = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    return lines.join(parts, "l_partkey").join(titles, "l_orderkey").select(
+        F.concat_ws("/", "l_orderkey", "sheet").alias("page"), (F.col("n") % 7).alias("pos"), F.col("l_partkey").cast("string").alias("asset_id"), "px_w", "px_h", weight.alias("weight"),
+        (F.col("title") & (F.col("sheet") == 0)).alias("title"),
+    )
+
+
+@query("l3_full_pages", FULL_PAGES)
+def l3_full_pages(spark, sf_dir):
+    # A cell side half way between two roundings moves the score by some tenths, so it is compared in points of 50.
+    found = layout.strip_candidates(layout.page_rows(order_items(spark, sf_dir)), layout.default_recipes(spark))
+    feature = F.aggregate(
+        F.zip_with("arranged", "cells", lambda a, c: geometry.contained_size(a["px_w"], a["px_h"], c["w"], c["h"])["w"]
+                   * geometry.contained_size(a["px_w"], a["px_h"], c["w"], c["h"])["h"] * a["weight"]),
+        F.lit(0.0), lambda total, x: total + x,
+    )
+    score = F.col("area") + feature * 0.6 - F.col("deficit") * 50.0
+    return found.select("page", F.col("recipe_no").cast("bigint").alias("recipe_no"), F.col("k").cast("bigint").alias("k"), F.round(score / 50 + 0.0123456, 0).alias("points"))
+
+
 PAIR_CTE = CAND_CTE + """, gr AS (SELECT *, eb - ey AS gh, (er - ex) / (eb - ey) AS ga FROM best_order),
 pr AS (
   SELECT l.spread, l.recipe_no AS ln, r.recipe_no AS rn, l.area AS la, r.area AS ra, l.gh AS lgh, r.gh AS rgh, l.deficit + r.deficit AS def,

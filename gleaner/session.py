@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,15 @@ def refuse(rows: DataFrame, bad: Column, message: str) -> DataFrame:
     return rows.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Put this package's folder on the path of Python workers; on a cluster it is installed or sent along."""
+    root = str(Path(__file__).resolve().parent.parent)
+    own = spark.sparkContext.environment
+    paths = [p for p in own.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        own["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, like a let-expression."""
     return F.transform(F.array(value), body)[0]

@@ -157,6 +157,55 @@ def test_candidates_take_the_best_order(spark):
         assert got[f"rows:{no}"]["area"] == pytest.approx(best[1], abs=0.02)
 
 
+@pytest.mark.parametrize("k", range(1, 8))
+@pytest.mark.parametrize("title", [False, True])
+def test_strip_candidates_against_all_orders(spark, k, title):
+    rng = random.Random(10 * k + title)
+    sizes = [(rng.choice([400, 900, 1500, 3000]), rng.choice([500, 1000, 2200, 3100]), rng.choice([0, 0, 1, 3])) for _ in range(k)]
+    got = {r["recipe_no"]: r for r in layout.strip_candidates(page_of(spark, sizes, title), layout.default_recipes(spark)).collect()}
+    families = layout.RECIPES[geometry.STYLE_NAMES[k - 1]]
+    assert set(got) == set(range(2 * len(families)))
+    tall = 11.76 - (0.65 if title else 0)
+
+    def score(order, strips, in_rows):
+        along, across = (11.76, tall) if in_rows else (tall, 11.76)
+        lengths = [sizes[i][0] / sizes[i][1] if in_rows else sizes[i][1] / sizes[i][0] for i in order]
+        thick, at = [], 0
+        for n in strips:
+            thick.append((along - 0.05 * (n - 1)) / sum(lengths[at : at + n]))
+            at += n
+        scale = min(1, across / (sum(thick) + 0.05 * (len(strips) - 1)))
+        area = lack = feature = at = 0
+        for n, t in zip(strips, thick):
+            for j in range(at, at + n):
+                w, h = (lengths[j] * t * scale, t * scale) if in_rows else (t * scale, lengths[j] * t * scale)
+                area, feature = area + w * h, feature + sizes[order[j]][2] * w * h
+                lack += max(0, 240 - min(sizes[order[j]][0] / w, sizes[order[j]][1] / h))
+            at += n
+        return area + 0.6 * feature - 50 * lack - 1e-6 * sum(abs(a - b) for a, b in enumerate(order)), area
+
+    for no, strips in enumerate(families):
+        for in_rows in (True, False):
+            found = got[2 * no + (not in_rows)]
+            order = tuple(int(a["asset_id"][1:]) for a in found["arranged"])
+            assert sorted(order) == list(range(k)) and (not title or order[0] == 0) and len(found["cells"]) == k
+            best = max(score(o, strips, in_rows)[0] for o in permutations(range(k)) if not title or o[0] == 0)
+            own, area = score(order, strips, in_rows)
+            assert own == pytest.approx(best, abs=0.6) and found["area"] == pytest.approx(area, abs=0.02)
+
+
+def test_strip_candidates_keep_a_fixed_order(spark):
+    sizes = [(400, 2200, 0), (3000, 1000, 3), (900, 900, 0), (1500, 500, 1), (400, 400, 0)]
+    pages = page_of(spark, sizes).withColumn("fixed", F.lit(True))
+    for row in layout.strip_candidates(pages, layout.default_recipes(spark)).collect():
+        assert [a["asset_id"] for a in row["arranged"]] == [f"a{i}" for i in range(5)]
+
+
+def test_strip_orders_are_few():
+    assert [len(layout.strip_orders(s)) for s in ([3, 4], [1, 2, 2, 2], [2, 2, 2], [1])] == [35, 630, 90, 1]
+    assert all(o == sorted(o) for o in layout.strip_orders([5])) and len({tuple(o) for o in layout.strip_orders([2, 3, 2])}) == 210
+
+
 def test_title_keeps_the_first_item_first(spark):
     found = layout.recipe_candidates(page_of(spark, [(400, 400, 0), (3000, 2000, 3)], True), layout.default_recipes(spark), layout.order_table(spark, 4))
     assert {r["arranged"][0]["asset_id"] for r in found.collect()} == {"a0"}
