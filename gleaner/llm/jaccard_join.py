@@ -3,7 +3,8 @@
 Sets are the distinct five-word shingles of a text. Two texts link when 100 * intersection >= 80 * union;
 the result names each text's connected component.
 
-1. One pass makes a set signature per row; rows with equal sets collapse to their smallest doc_id.
+1. One pass makes a set signature per row; rows with equal sets collapse to one node. A node carries the smallest doc_id of its
+   rows, and the set's own hash where several sets have that doc_id.
 2. The frequency class of every shingle is counted over the corpus (``exchange``). A shingle of one
    document can't match anything, so it only uses up the mismatches that a link allows; a document with
    more such shingles than that is settled at once.
@@ -17,7 +18,9 @@ the result names each text's connected component.
    verified, so no link that joins components is lost and a large group is not paired in full.
 
 Defined results: null or empty texts have an empty set and stand alone; a null doc_id links with nothing
-and has no component; repeated rows are equal sets.
+and has no component; repeated rows are equal sets. Different texts under one doc_id are different
+documents: each is a row of the result with the component of its own text. ``one_of_each_group`` keeps all columns, whatever
+their names, and of a group one row; rows without words or without a doc_id are in no group and stay.
 """
 
 from __future__ import annotations
@@ -40,7 +43,11 @@ BITS = 48
 FREQUENT = 5
 SINGLE_BELOW = 16
 LIGHT = "doc_id bigint, n bigint, sig_a bigint, sig_b bigint"
-ALIVE = "doc_id bigint, n int, dead int, tokens binary, classes binary"
+ALIVE = "node bigint, n int, dead int, tokens binary, classes binary"
+# Marks, in place of a hash range, of what a chunk is told about its rows: copies of another row's set, and sets whose node
+# is their own hash.
+LEFT_OUT, BY_HASH = -1, -2
+PAIR = np.dtype([("doc_id", "<i8"), ("sig", "<i8")])
 KEYS = "key bigint, doc bigint, dead int, n int"
 
 
@@ -98,8 +105,23 @@ def allowed(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _alive_sets(docs: DataFrame, copies: DataFrame, ranges: exchange.Ranges) -> DataFrame:
-    """Sets that can still link, without shingles of one document; copies of another row are left out."""
+def _told(seen: pa.Table, mark: int) -> np.ndarray:
+    """The (doc_id, signature) pairs that a chunk got under ``mark``."""
+    own = seen.filter(pa.array(np.array(seen.column("bucket").to_pylist(), np.int64) == mark))
+    return np.frombuffer(b"".join(x.as_py() for x in own.column("blob")), PAIR)
+
+
+def _pairs(ids: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ids), PAIR)
+    out["doc_id"], out["sig"] = ids, sig
+    return out
+
+
+def _alive_sets(docs: DataFrame, sets: DataFrame, ranges: exchange.Ranges) -> DataFrame:
+    """Sets that can still link, without shingles of one document, one row per node.
+
+    ``sets`` has (doc_id, sig_a, mark) for rows to leave out and for rows whose node is their hash.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,35 +132,44 @@ def _alive_sets(docs: DataFrame, copies: DataFrame, ranges: exchange.Ranges) ->
                 yield exchange.fragment_batch(list(exchange.fragments(chunk, value >> np.uint64(64 - BITS), ranges.buckets, BITS)))
 
     def blob(rows: pa.Table) -> pa.Table:
-        ids = np.sort(rows.column("doc_id").to_numpy()).view(np.uint64)
-        return pa.Table.from_batches([exchange.fragment_batch([(-1, rows.column("chunk")[0].as_py(), ids.tobytes())])])
+        mark, pairs = rows.column("mark").to_numpy(), _pairs(rows.column("doc_id").to_numpy(), rows.column("sig_a").to_numpy())
+        chunk = rows.column("chunk")[0].as_py()
+        return pa.Table.from_batches([exchange.fragment_batch([(int(m), chunk, pairs[mark == m].tobytes()) for m in np.unique(mark)])])
 
     def settle(rows: pa.Table, seen: pa.Table) -> pa.Table:
-        is_copy = np.array([b == -1 for b in seen.column("bucket").to_pylist()], bool)
-        left_out = [np.frombuffer(x.as_py(), np.int64) for x in seen.filter(pa.array(is_copy)).column("blob")]
-        values, tags = exchange.decode_all(seen.filter(pa.array(~is_copy)))
-        if left_out:
-            rows = rows.filter(pa.array(~np.isin(rows.column("doc_id").to_numpy(), np.concatenate(left_out))))
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "dead", "tokens", "classes")}
-        ids = rows.column("doc_id")
+        left_out, by_hash = _told(seen, LEFT_OUT), _told(seen, BY_HASH)
+        values, tags = exchange.decode_all(seen.filter(pa.array(np.array(seen.column("bucket").to_pylist(), np.int64) >= 0)))
+        ids = rows.column("doc_id").to_numpy()
+        _, of_id, rows_of_id = np.unique(ids, return_inverse=True, return_counts=True)
+        # a doc_id with one row is told by itself, without its set
+        keep = ~np.isin(ids, left_out["doc_id"]) | (rows_of_id[of_id] > 1)
+        rows, ids = rows.filter(pa.array(keep)), ids[keep]
+        out: dict[str, list] = {k: [] for k in ("node", "n", "dead", "tokens", "classes")}
+        settled = set()
         for a, b in kernel.blocks(rows, "text"):
             at, value = shingle_sets(rows.column("text").slice(a, b - a))
             there, place = exchange.find(values, value >> np.uint64(64 - BITS))
             n = np.diff(at)
+            sig = _sums(value, at)
+            pair = _pairs(ids[a:b], sig)
+            node = np.where(np.isin(pair, by_hash), sig, ids[a:b])
             alive = np.diff(np.concatenate([[0], np.cumsum(there)])[at])
-            for d in np.flatnonzero((n > 0) & (n - alive < n - (PERCENT * n + 99) // 100 + 1)):
+            for d in np.flatnonzero((n > 0) & (n - alive < n - (PERCENT * n + 99) // 100 + 1) & ~np.isin(pair, left_out)):
+                if int(node[d]) in settled:
+                    continue
+                settled.add(int(node[d]))
                 own = slice(at[d], at[d + 1])
-                out["doc_id"].append(ids[int(a + d)].as_py())
+                out["node"].append(int(node[d]))
                 out["n"].append(int(n[d]))
                 out["dead"].append(int(n[d] - alive[d]))
                 out["tokens"].append(value[own][there[own]].tobytes())
                 out["classes"].append(tags[place[own][there[own]]].tobytes())
         return pa.Table.from_pydict(out, schema=pa.schema([
-            ("doc_id", pa.int64()), ("n", pa.int32()), ("dead", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())]))
+            ("node", pa.int64()), ("n", pa.int32()), ("dead", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())]))
 
     chunk = ranges.chunk(F.col("doc_id"))
     replies = exchange.answers(docs.mapInArrow(send, exchange.FRAGMENT), _classes).unionByName(
-        copies.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(blob, exchange.FRAGMENT)
+        sets.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(blob, exchange.FRAGMENT)
     )
     return docs.withColumn("chunk", chunk).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(settle, ALIVE)
 
@@ -193,7 +224,7 @@ def _index(alive: DataFrame) -> DataFrame:
             size = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)),
-                pa.array(np.repeat(batch.column("doc_id").to_numpy(), size)),
+                pa.array(np.repeat(batch.column("node").to_numpy(), size)),
                 pa.array(np.repeat((dead * 1000 // np.maximum(n, 1)).astype(np.int32), size)),
                 pa.array(np.repeat(n, size)),
             ], ["key", "doc", "dead", "n"])
@@ -234,8 +265,8 @@ def _measured(pairs: DataFrame, alive: DataFrame) -> DataFrame:
                     pa.array([f[1] for f in found], pa.int32()), pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64())),
                 ], ["src", "dst", "n_src", "n_dst", "hit", "beside", "others"])
 
-    src = alive.select(F.col("doc_id").alias("src"), F.col("n").alias("n_src"), F.col("tokens").alias("t_src"))
-    dst = alive.select(F.col("doc_id").alias("dst"), F.col("n").alias("n_dst"), F.col("tokens").alias("t_dst"), F.col("classes").alias("k_dst"))
+    src = alive.select(F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("tokens").alias("t_src"))
+    dst = alive.select(F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("tokens").alias("t_dst"), F.col("classes").alias("k_dst"))
     return pairs.join(dst, "dst").join(src, "src").mapInArrow(measure, MEASURED)
 
 
@@ -310,19 +341,69 @@ def links(alive: DataFrame) -> DataFrame:
     return found.unionByName(_verified(third.unionByName(fourth).distinct(), alive))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row; component_id is the smallest doc_id reachable."""
+def _components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sig_a, node, component, component_id) of every row.
+
+    ``node`` names the row's set, ``component`` the linked sets and ``component_id`` is their smallest doc_id. A row
+    without words or without a doc_id has nulls there.
+    """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     light = cut_lineage(_signatures(docs))
-    signed = light.where("n > 0 AND doc_id IS NOT NULL")
-    same = signed.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    member = cut_lineage(signed.join(same, ["n", "sig_a", "sig_b"]).select("doc_id", "rep").distinct())
-    copies = member.where("doc_id <> rep").select("doc_id")
+    in_sets = F.expr("n > 0 AND doc_id IS NOT NULL")
+    signature = ["n", "sig_a", "sig_b"]
+    sets = light.where(in_sets).groupBy(*signature).agg(F.min("doc_id").alias("rep"))
+    # Several sets have one smallest doc_id only where a doc_id is repeated.
+    shared = sets.groupBy("rep").agg(F.min("sig_a").alias("first"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    by_hash = F.coalesce(F.col("sig_a") != F.col("first"), F.lit(False))
+    named = sets.join(shared, "rep", "left").select(*signature, "rep", F.when(by_hash, F.col("sig_a")).otherwise(F.col("rep")).alias("node"))
+    member = cut_lineage(light.where(in_sets).join(named, signature).select("doc_id", "n", "sig_a", "rep", "node"))
+    mark = F.when(F.col("doc_id") != F.col("rep"), LEFT_OUT).when(F.col("node") != F.col("rep"), BY_HASH)
+    told = member.select("doc_id", "sig_a", mark.alias("mark")).where("mark IS NOT NULL")
     full = docs.where("doc_id IS NOT NULL")
-    alive = cut_lineage(_alive_sets(full, copies, exchange.Ranges(full, bytes_per_value=3.5, value_bytes=6)))
-    groups = connected_components(cut_lineage(links(alive))).withColumnRenamed("id", "rep")
-    named = member.join(groups, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return (
-        light.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alive = cut_lineage(_alive_sets(full, told, exchange.Ranges(full, bytes_per_value=3.5, value_bytes=6)))
+    groups = cut_lineage(connected_components(cut_lineage(links(alive))).withColumnRenamed("id", "node"))
+    nodes = member.where("doc_id = rep").select("node", "rep").distinct().join(groups, "node")
+    least = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = groups.join(least, "component")
+    return member.join(linked, "node", "left").select(
+        "doc_id", "n", "sig_a", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id")
+    ).unionByName(light.where(~F.coalesce(in_sets, F.lit(False))).select("doc_id", "n", "sig_a"), allowMissingColumns=True)
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row; component_id is the smallest doc_id reachable."""
+    return _components(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are in no group, and of each group the row with the smallest doc_id.
+
+    Where that doc_id has several sets in the group, its least signature stays, and of its equal rows one.
+    """
+    found = cut_lineage(_components(docs).where("doc_id IS NOT NULL").select("doc_id", "sig_a", "component", "component_id"))
+    doc_id = docs["doc_id"].cast("bigint")
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    out = found.where("doc_id <> component_id").select("doc_id").unionByName(repeated).distinct().withColumnRenamed("doc_id", "_out")
+    single = docs.join(out, doc_id == out["_out"], "left_anti")
+    # Rows of a repeated doc_id are told apart by their sets.
+    stays = (
+        found.where("doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "sig_a")).alias("s"))
+        .select(F.col("s.doc_id").alias("_id"), F.col("s.sig_a").alias("_sig"))
+    )
+    again = docs.join(repeated, doc_id == repeated["doc_id"], "left_semi")
+
+    @F.arrow_udf("struct<n: bigint, sig: bigint>")
+    def sign(texts: pa.Array) -> pa.Array:
+        parts = [shingle_sets(texts.slice(a, b - a)) for a, b in kernel.blocks(pa.table({"text": texts}), "text")]
+        n = [np.diff(at) for at, _ in parts]
+        sig = [_sums(value, at) for at, value in parts]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([*n, []]).astype(np.int64)), pa.array(np.concatenate([*sig, np.zeros(0, np.int64)]))], ["n", "sig"])
+
+    row = again.select(F.struct("*").alias("_row"))
+    signed = row.select("_row", F.col("_row.doc_id").cast("bigint").alias("_id"), sign(F.col("_row.text").cast("string")).alias("_set"))
+    empty = signed.where("_set.n = 0").select("_row.*")
+    one = (
+        signed.where("_set.n > 0").select("_row", "_id", F.col("_set.sig").alias("_sig")).join(stays, ["_id", "_sig"])
+        .groupBy("_id", "_sig").agg(F.min_by("_row", "_row.text").alias("_row")).select("_row.*")
     )
+    return single.unionByName(empty).unionByName(one)

@@ -129,6 +129,57 @@ def test_jaccard_awkward_rows(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
 
+def brute_rows(rows):
+    """Components by row: (doc_id, text, component_id, number of its component)."""
+    found = brute_components(list(enumerate(t for _, t in rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        root = found[k][1]
+        least[root] = min(least.get(root, i), i)
+    return [(i, t, least[found[k][1]], found[k][1]) for k, (i, t) in enumerate(rows)]
+
+
+def repeated_ids(seed):
+    """Families whose rows share few doc_ids, with texts found once under an id that copies have too."""
+    rng = random.Random(seed)
+    texts = [t for _, t in random_families(seed)]
+    rows = [(rng.randrange(len(texts) // 3), t) for t in texts]
+    a, b = sentence(rng, 40, 9000), sentence(rng, 40, 9000)
+    rows += [(9003, a), (9005, a), (9005, b), (9009, "short"), (9005, ""), (9010, a), (9010, a)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_one_doc_id_with_several_texts(spark):
+    rows = repeated_ids(4)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard_join.jaccard_components(table).select("doc_id", "component_id").collect()
+    want = brute_rows(rows)
+    assert sorted(tuple(r) for r in got) == sorted((i, c) for i, _, c, _ in want)
+
+    extra = table.withColumn("_row", F.lit(1)).withColumn("_out", F.lit("x")).withColumn("component_id", F.lit(2))
+    kept = jaccard_join.one_of_each_group(extra)
+    assert kept.columns == extra.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    component = {(i, t): (g, c) for i, t, c, g in want}
+    groups = [component[r] for r in left if words(r[1])]
+    assert len(groups) == len(set(groups)) == len({(g, c) for _, t, c, g in want if words(t)})
+    assert all(r[0] == component[r][1] for r in left)
+    assert (9005, "") in left and (9005, rows[[r[0] for r in rows].index(9003)][1]) not in left
+    assert sum(r[0] == 9005 for r in left) == 2
+
+
+def test_one_of_each_group_awkward_rows(spark):
+    table = docs(spark)
+    left = jaccard_join.one_of_each_group(table).collect()
+    assert sum(r["doc_id"] is None for r in left) == 2
+    rows = [(i, t) for i, t, *_ in awkward() if i is not None]
+    want = brute_rows(rows)
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None and words(r["text"])) == sorted(c for _, c in {(g, c) for _, t, c, g in want if words(t)})
+    assert sum(r["doc_id"] is not None and not words(r["text"]) for r in left) == sum(not words(t) for _, t in rows)
+    assert jaccard_join.one_of_each_group(docs(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("n,other", [(1, 1), (4, 5), (16, 20), (60, 75), (300, 260), (540, 540)])
 def test_prefix_keys_of_linked_sets_meet(n, other):
     rng = np.random.default_rng(n)
