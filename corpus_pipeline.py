@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: stages run in order, each over all that its predecessor kept."""
+"""A training corpus from raw documents: stages run in order, each over all that its predecessor kept.
+
+Defined results: null and empty texts fail the quality rules. Rows of one doc_id with different texts are
+different documents: rules, Jaccard join and decontamination judge each by its own text. Rows with the same
+words under one doc_id are a group, of which one row stays. An empty table gives an empty result. All stages but the last keep
+every column of documents, extra ones of any name included.
+"""
 
 from __future__ import annotations
 
@@ -34,8 +40,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the row with the smallest doc_id; a null doc_id is in no group."""
     small_buffers(spark)
-    groups = jaccard_join.jaccard_components(docs)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.one_of_each_group(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
