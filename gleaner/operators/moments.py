@@ -9,6 +9,7 @@ from gleaner.functions import hashing
 from gleaner.functions.dates import instant
 from gleaner.functions.text import filename_counter
 from gleaner.operators import neardup
+from gleaner.operators.numbering import with_previous
 
 # Sources of a date that is good enough for burst detection.
 REAL_DATES = ("exif", "sidecar", "filename")
@@ -38,38 +39,22 @@ def counter_edges(assets: DataFrame) -> DataFrame:
     )
 
 
-def burst_edges(assets: DataFrame, gap_seconds: int = 120, slice_hours: int = 1) -> DataFrame:
-    """Consecutive instants of one src at most ``gap_seconds`` apart.
+def burst_edges(assets: DataFrame, gap_seconds: int = 120) -> DataFrame:
+    """Consecutive rows of one src, by (instant, asset_id), at most ``gap_seconds`` apart.
 
-    A source may hold a third of all rows, so its timeline is cut into slices: neighbours inside a
-    slice come from a window over (src, slice), neighbours across a cut from the slices' ends.
+    The order is global and range-partitioned down to the id, so neither a source with a third of all rows nor one instant
+    with millions of them is one task (``with_previous``).
     """
     timed = (
         assets.where(F.col("date_source").isin(*REAL_DATES))
         .select("asset_id", "src", instant(F.col("best_datetime")).alias("at"))
         .where("at IS NOT NULL")
-        .withColumn("slice", F.floor(F.unix_timestamp("at") / (slice_hours * 3600)))
-    )
-    w = Window.partitionBy("src", "slice").orderBy("at", "asset_id")
-    inside = timed.select(
-        F.lag("asset_id").over(w).alias("a"),
-        F.col("asset_id").alias("b"),
-        (F.unix_micros("at") - F.unix_micros(F.lag("at").over(w))).alias("gap"),
-    )
-    ends = timed.groupBy("src", "slice").agg(
-        F.min(F.struct("at", "asset_id")).alias("first"), F.max(F.struct("at", "asset_id")).alias("last")
-    )
-    # One row per (src, slice): bounded by the calendar, not by the rows.
-    ws = Window.partitionBy("src").orderBy("slice")
-    across = ends.select(
-        F.lag("last").over(ws)["asset_id"].alias("a"),
-        F.col("first.asset_id").alias("b"),
-        (F.unix_micros("first.at") - F.unix_micros(F.lag("last").over(ws)["at"])).alias("gap"),
     )
+    rows = with_previous(timed, ["src", "at", "asset_id"], ["src", "at", "asset_id"], "before")
+    gap = F.unix_micros("at") - F.unix_micros("before.at")
     return (
-        inside.unionByName(across)
-        .where(F.col("gap").between(0, gap_seconds * 1_000_000))
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast("int").alias("distance"))
+        rows.where(F.col("before").isNotNull() & F.col("src").eqNullSafe(F.col("before.src")) & gap.between(0, gap_seconds * 1_000_000))
+        .select(F.col("before.asset_id").alias("src"), F.col("asset_id").alias("dst"), F.lit(None).cast("int").alias("distance"))
     )
 
 

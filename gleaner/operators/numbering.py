@@ -34,6 +34,25 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str, by: tuple[s
     )
 
 
+def with_previous(df: DataFrame, order: list[str], columns: list[str], name: str) -> DataFrame:
+    """Adds ``name``: a struct of ``columns`` of the row before in ascending ``order``, null for the first row of all.
+
+    Rows are range-partitioned on the whole order, so equal leading keys are spread as well as long groups are. Neighbours
+    inside a partition come from a window over it; the last row of each partition is carried to the next.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut_lineage(df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()))
+    own = F.struct(*columns)
+    ends = spread.groupBy("_part").agg(F.max_by(own, F.struct(*order)).alias("_end"))
+    # One row per partition that has rows.
+    carried = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_carried"))
+    before = F.lag(own).over(Window.partitionBy("_part").orderBy(*order))
+    return (
+        spread.withColumn("_before", before).join(carried, "_part")
+        .withColumn(name, F.coalesce("_before", "_carried")).drop("_part", "_before", "_carried")
+    )
+
+
 def paginate(df: DataFrame, order: list[Column | str], page_size: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds page_no (1-based) and place on the page."""
     numbered = number_rows(df, order, "_no", by)

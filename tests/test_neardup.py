@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import ScoreConfig
 from gleaner.functions import hashing
-from gleaner.operators import moments, neardup, scoring
+from gleaner.operators import moments, neardup, numbering, scoring
 
 SCHEMA = "asset_id string, phash bigint, best_datetime string, date_confidence string"
 
@@ -116,6 +116,30 @@ def test_bursts_cross_slices_and_stop_at_the_gap(spark):
     assert got == {("a0", "a1"), ("a2", "a3")}
 
 
+def test_bursts_of_one_instant_are_spread(spark, monkeypatch):
+    rng = random.Random(8)
+    base = datetime(2024, 1, 1)
+    rows = [(f"h{i:05}", "hot", base.isoformat(), "exif") for i in range(3000)]
+    rows += [(f"n{i}", None, (base + timedelta(seconds=60 * i)).isoformat(), "exif") for i in range(3)]
+    rows += [(f"o{i}", f"s{i % 5}", (base + timedelta(seconds=rng.randrange(20_000))).isoformat(), "exif") for i in range(400)]
+    rows += [("u", "s1", None, "exif"), ("v", "s1", "no date", "exif")]
+    df = spark.createDataFrame(rows, "asset_id string, src string, best_datetime string, date_source string")
+    spreads, cut = [], numbering.cut_lineage
+    monkeypatch.setattr(numbering, "cut_lineage", lambda rows: spreads.append(cut(rows)) or spreads[-1])
+    got = sorted((r["src"], r["dst"]) for r in moments.burst_edges(df).collect())
+    lines, want = {}, []
+    for i, src, at, _ in rows:
+        if at and at[0] == "2":
+            lines.setdefault(src, []).append((datetime.fromisoformat(at), i))
+    for line in lines.values():
+        line.sort()
+        want += [(a[1], b[1]) for a, b in zip(line, line[1:]) if b[0] - a[0] <= timedelta(seconds=120)]
+    assert got == sorted(want)
+    parts = [r["count"] for r in spreads[0].groupBy("_part").count().collect()]
+    assert len(parts) == 4 and max(parts) < 0.5 * sum(parts)
+    assert moments.burst_edges(df.limit(0)).count() == 0
+
+
 def greedy(rows, caps, config):
     picked = {}
     for r in sorted(rows, key=lambda r: (-r[2], r[1])):
