@@ -12,6 +12,8 @@ from gleaner.functions.dates import DEFAULT_PATTERNS, DatePattern
 class DedupConfig:
     max_distance: int = 6
     window_days: int = 30
+    # Declared number of different fingerprints; it sets the length of block keys, never the result.
+    expected_fingerprints: int = 65_536
 
 
 @dataclass(frozen=True)

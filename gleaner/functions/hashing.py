@@ -175,6 +175,30 @@ def first_shared_blocks(a: Column, b: Column, max_distance: int, equal_blocks: i
     return agree - rest
 
 
+def _interleaved(parts: int) -> list[int]:
+    return [sum(1 << bit for bit in range(part, 64, parts)) for part in range(parts)]
+
+
+def part_masks(max_distance: int) -> Column:
+    """Constant array of (part, mask): 64 bits dealt in turn to ``max_distance + 1`` parts.
+
+    Two words within ``max_distance`` agree on a whole part. The bits of a part lie in all blocks, so few of them are already in
+    a key of ``block_masks``: a part splits a bucket of such a key further.
+    """
+    return F.array(*[
+        F.struct(F.lit(i).alias("part"), F.lit(_signed(mask)).cast("bigint").alias("mask"))
+        for i, mask in enumerate(_interleaved(max_distance + 1))
+    ])
+
+
+def first_shared_part(a: Column, b: Column, max_distance: int) -> Column:
+    """The lowest part on which both words agree, null if there is none."""
+    diff = a.bitwiseXOR(b)
+    return F.coalesce(*[
+        F.when(diff.bitwiseAND(F.lit(_signed(mask)).cast("bigint")) == 0, F.lit(i)) for i, mask in enumerate(_interleaved(max_distance + 1))
+    ])
+
+
 def probe_radii(max_distance: int, blocks: int) -> list[int]:
     """How many bits may differ in each block, -1 for none, so that words within ``max_distance`` meet in one block.
 

@@ -2,22 +2,29 @@
 
 Rows are first grouped to nodes, one per (fingerprint, day). All rows of a node are one component
 already, so a group of copies costs one aggregation with map-side combine instead of all its pairs.
-Edges are searched between nodes only, by equi-joins on pigeonhole block keys.
+Edges are searched between nodes only, by equi-joins on pigeonhole block keys. Buckets are counted first:
+one that holds more than ``HOT_BUCKET`` rows, such as a common pattern or the pool of rows without a date, is split
+by a second pigeonhole over the whole fingerprint, so it is neither one task nor all its pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gleaner.config import DedupConfig
 from gleaner.functions import hashing
 from gleaner.functions.dates import NO_DATE, day_key, wall_time
 from gleaner.operators.numbering import number_rows
 from gleaner.session import cut_lineage, release
 
 
-# Block keys for up to a million different fingerprints; more rows need ``hashing.equal_blocks_for``.
-EQUAL_BLOCKS = hashing.equal_blocks_for(6, 1_000_000)
+# Block keys for the declared number of different fingerprints (``DedupConfig.expected_fingerprints``).
+EQUAL_BLOCKS = hashing.equal_blocks_for(DedupConfig.max_distance, DedupConfig.expected_fingerprints)
+# A bucket with more rows than this is split by a further part of the fingerprint.
+HOT_BUCKET = 256
 UNDATED = -(10**9)  # day number of the pool of rows without a date
 
 
@@ -53,11 +60,35 @@ def _keyed(nodes: DataFrame, distance: int, equal_blocks: int) -> DataFrame:
     )
 
 
+def hot_buckets(rows: DataFrame, bucket: list[str]) -> DataFrame:
+    """The buckets with more than ``HOT_BUCKET`` rows; at most one for so many rows. Written once, so that Spark knows its size."""
+    return cut_lineage(rows.groupBy(*bucket).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_BUCKET).select(*bucket))
+
+
+def _parted(rows: DataFrame, hot: DataFrame, bucket: list[str], distance: int) -> DataFrame:
+    """Adds (part, part_key): every part for rows of hot buckets, part -1 for all others."""
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("mask")))
+    flagged = rows.join(hot.withColumn("hot", F.lit(True)), bucket, "left")
+    parts = F.when(F.col("hot"), hashing.part_masks(distance)).otherwise(whole)
+    return flagged.select(*rows.columns, F.inline(parts)).withColumn("part_key", F.col("phash").bitwiseAND(F.col("mask"))).drop("mask")
+
+
+def candidates(left: DataFrame, right: DataFrame, bucket: list[str], distance: int, keep: Column) -> DataFrame:
+    """Pairs of keyed rows, as a and b, that share a bucket, in hot buckets also a part, and satisfy ``keep``."""
+    hot = hot_buckets(right, bucket)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*bucket, "part", "part_key")]
+    return _parted(left, hot, bucket, distance).alias("a").join(
+        _parted(right, hot, bucket, distance).alias("b"), reduce(Column.__and__, same) & keep
+    )
+
+
 def _near(distance: int, equal_blocks: int) -> Column:
-    """Join residual: within the distance, and seen under the pair's first shared blocks only."""
+    """Join residual: within the distance, and seen under the pair's first shared blocks and part only."""
     a, b = F.col("a.phash"), F.col("b.phash")
-    return (hashing.hamming64(a, b) <= distance) & (
-        F.col("a.chosen") == hashing.first_shared_blocks(a, b, distance, equal_blocks)
+    return (
+        (hashing.hamming64(a, b) <= distance)
+        & (F.col("a.chosen") == hashing.first_shared_blocks(a, b, distance, equal_blocks))
+        & ((F.col("a.part") < 0) | (F.col("a.part") == hashing.first_shared_part(a, b, distance)))
     )
 
 
@@ -87,18 +118,11 @@ def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLO
         .select("node", "phash", F.explode("steps").alias("step"), "day", "date")
         .withColumn("pool_day", F.coalesce(F.unix_date("date") + F.col("step"), F.lit(UNDATED)))
     )
-    left = _keyed(forward.select("node", "phash", "step", "pool_day"), distance, equal_blocks).alias("a")
+    left = _keyed(forward.select("node", "phash", "step", "pool_day"), distance, equal_blocks)
     own_day = F.coalesce(F.unix_date(day), F.lit(UNDATED)).alias("pool_day")
-    right = _keyed(nodes.select("node", "phash", own_day), distance, equal_blocks).alias("b")
-    joined = left.join(
-        right,
-        (F.col("a.pool_day") == F.col("b.pool_day"))
-        & (F.col("a.chosen") == F.col("b.chosen"))
-        & (F.col("a.key") == F.col("b.key"))
-        & ((F.col("a.step") > 0) | (F.col("a.node") < F.col("b.node")))
-        & _near(distance, equal_blocks),
-    )
-    return _edges(joined)
+    right = _keyed(nodes.select("node", "phash", own_day), distance, equal_blocks)
+    once = (F.col("a.step") > 0) | (F.col("a.node") < F.col("b.node"))
+    return _edges(candidates(left, right, ["pool_day", "chosen", "key"], distance, once & _near(distance, equal_blocks)))
 
 
 def window_edges(
@@ -118,11 +142,11 @@ def window_edges(
         "near_bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1))
     )
     left = _keyed(
-        low.select("node", "phash", "day", "first_low", "last_low", "near_bucket"), distance, equal_blocks
-    ).alias("a")
+        low.select("node", "phash", "day", "first_low", "last_low", F.col("near_bucket").alias("bucket")), distance, equal_blocks
+    )
     right = _keyed(
         dated.select("node", "phash", "day", "first_at", "last_at", "bucket"), distance, equal_blocks
-    ).alias("b")
+    )
     # Nearest low row of a to nearest row of b, whichever side b lies on.
     after = (F.col("b.first_at") >= F.col("a.last_low")) & (
         F.col("b.first_at") <= F.col("a.last_low") + span
@@ -133,15 +157,8 @@ def window_edges(
     overlap = (F.col("b.first_at") < F.col("a.last_low")) & (
         F.col("b.last_at") > F.col("a.first_low")
     )
-    joined = left.join(
-        right,
-        (F.col("a.near_bucket") == F.col("b.bucket"))
-        & (F.col("a.chosen") == F.col("b.chosen"))
-        & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.node") != F.col("b.node"))
-        & (after | before | overlap)
-        & _near(distance, equal_blocks),
-    )
+    other = (F.col("a.node") != F.col("b.node")) & (after | before | overlap)
+    joined = candidates(left, right, ["bucket", "chosen", "key"], distance, other & _near(distance, equal_blocks))
     # Two low nodes can find each other from both sides.
     return _edges(joined).select(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance"
@@ -153,14 +170,8 @@ def all_edges(assets: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BL
     fingerprint are tied by ``copy_edges``."""
     nodes = assets.where("phash IS NOT NULL").groupBy("phash").agg(F.min("asset_id").alias("node"))
     keyed = _keyed(nodes, distance, equal_blocks)
-    joined = keyed.alias("a").join(
-        keyed.alias("b"),
-        (F.col("a.chosen") == F.col("b.chosen"))
-        & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.node") < F.col("b.node"))
-        & _near(distance, equal_blocks),
-    )
-    return _edges(joined)
+    once = F.col("a.node") < F.col("b.node")
+    return _edges(candidates(keyed, keyed, ["chosen", "key"], distance, once & _near(distance, equal_blocks)))
 
 
 def copy_edges(assets: DataFrame) -> DataFrame:

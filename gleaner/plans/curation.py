@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.config import Config
-from gleaner.functions import flags, geometry
+from gleaner.functions import flags, geometry, hashing
 from gleaner.functions.dates import date_trust
 from gleaner.operators import chapters, layout, neardup, pagination, placement, quality, scoring, story
 from gleaner.operators.chapters import chapter_dim
@@ -25,7 +25,10 @@ def curate(assets: DataFrame, config: Config) -> DataFrame:
     spark = assets.sparkSession
     priority = dimension(spark, list(config.priority.items()), "src string, priority int")
     base = cut_lineage(assets)
-    groups = neardup.duplicate_groups(base, config.dedup.max_distance, config.dedup.window_days)
+    groups = neardup.duplicate_groups(
+        base, config.dedup.max_distance, config.dedup.window_days,
+        hashing.equal_blocks_for(config.dedup.max_distance, config.dedup.expected_fingerprints),
+    )
     kept = neardup.keepers(
         base.select("asset_id", "src", "w", "h", "bytes").join(priority, "src", "left").join(groups, "asset_id")
     ).select("asset_id", "dup_group", "is_dup_keep")

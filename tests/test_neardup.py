@@ -70,6 +70,33 @@ def test_groups_equal_all_pairs(spark, seed):
     assert got == twin(rows, 6, 30)
 
 
+def test_groups_with_split_buckets_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_BUCKET", 2)
+    for seed in (5, 6):
+        rows = random_rows(seed)
+        rows += [(f"u{i}", r[1], None, r[3]) for i, r in enumerate(rows[:25])]
+        got = {r["asset_id"]: r["dup_group"] for r in neardup.duplicate_groups(spark.createDataFrame(rows, SCHEMA), 6, 30).collect()}
+        assert got == twin(rows, 6, 30)
+
+
+def test_rows_with_two_common_blocks_are_not_paired_in_full(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"h{i:04}", (rng.getrandbits(47) << 16) | 0x5A5A, None, "high") for i in range(1200)]
+    rows += [(f"n{i}", rows[i][1] ^ (1 << 40) ^ 3, None, "high") for i in range(40)]
+    nodes = spark.createDataFrame(rows, SCHEMA).select("asset_id", "phash").withColumnRenamed("asset_id", "node")
+    keyed = neardup._keyed(nodes, 6, 2)
+    once = F.col("a.node") < F.col("b.node")
+    split = neardup.candidates(keyed, keyed, ["chosen", "key"], 6, once).count()
+    monkeypatch.setattr(neardup, "HOT_BUCKET", 10**9)
+    whole = neardup.candidates(keyed, keyed, ["chosen", "key"], 6, once).count()
+    # 48 other bits in 7 parts: a chance pair shares one with 7 / 2**(48 / 7), 6 %
+    assert split < whole / 5
+    monkeypatch.setattr(neardup, "HOT_BUCKET", 256)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and distance(a[1], b[1]) <= 6}
+    got = [(r["src"], r["dst"]) for r in neardup.all_edges(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 40
+
+
 def test_two_days_apart_needs_the_middle_day(spark):
     h = 5
     far = [("a", h, "2024-01-01T00:00:00", "high"), ("c", h, "2024-01-03T00:00:00", "high")]
@@ -78,7 +105,7 @@ def test_two_days_apart_needs_the_middle_day(spark):
     assert edges(far) == 0 and edges(near) == 1
 
 
-def test_every_close_pair_is_found_once(spark):
+def test_every_close_pair_is_found_once(spark, monkeypatch):
     rows = random_rows(11, 80)
     want = {
         (a, b) for a in {r[1] for r in rows if r[1] is not None} for b in {r[1] for r in rows if r[1] is not None}
@@ -87,6 +114,8 @@ def test_every_close_pair_is_found_once(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert neardup.all_edges(df).count() == len(want)
     assert neardup.all_edges(df, 6, equal_blocks=3).count() == len(want)
+    monkeypatch.setattr(neardup, "HOT_BUCKET", 2)
+    assert neardup.all_edges(df, 6, equal_blocks=1).count() == len(want)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
