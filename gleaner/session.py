@@ -58,13 +58,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return rows
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system its path names; a missing one is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(rows: DataFrame) -> None:
     """Delete what ``cut_lineage`` wrote, once nothing reads it any more."""
     folder = getattr(rows, "_folder", None)
     if folder:
-        jvm, context = rows.sparkSession._jvm, rows.sparkSession.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(rows.sparkSession, folder)
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
