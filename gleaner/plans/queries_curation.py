@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates, flags, text
@@ -9,6 +11,7 @@ from gleaner.operators import chapters, quality, scoring
 from gleaner.plans.assets import CHAPTERS, CONFIG, asset_view, signal_view, sql, table
 from gleaner.plans.queries_neardup import PRIORITY_CTE, priority_dim
 from gleaner.plans.registry import query
+from gleaner.session import checkpoint_dir
 
 LIMITS_CTE = """, joined AS (SELECT a.*, f.hi, f.lo, f.blur_var, f.level, f.blown, f.edge, f.saturation FROM assets a JOIN fp f USING (asset_id)),
 limits AS (
@@ -53,6 +56,21 @@ def a2_price_percentile(spark, sf_dir):
     return found.select("l_returnflag", "samples", F.round("threshold", 6).alias("threshold"))
 
 
+@query("a2_kept_sketches", """
+SELECT l_linenumber, count(l_extendedprice) AS samples, round(quantile_cont(l_extendedprice, 0.9), 6) AS threshold
+FROM lineitem GROUP BY l_linenumber""")
+def a2_kept_sketches(spark, sf_dir):
+    """The lines arrive by year of shipping; each run sketches its own rows, the percentile merges what all runs kept."""
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_extendedprice", F.year("l_shipdate").alias("y"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    first, last = lines.agg(F.min("y"), F.max("y")).first()
+    for year in range(first or 0, (last or 0) + 1):
+        quality.keep_sketches(lines.where(F.col("y") == year), folder, str(year), "l_linenumber", "l_extendedprice")
+    kept = quality.kept_sketches(spark, folder, "l_linenumber")
+    found = quality.group_percentile(lines, "l_linenumber", "l_extendedprice", 90, 8, sketches=kept)
+    return found.select("l_linenumber", "samples", F.round("threshold", 6).alias("threshold"))
+
+
 def gated(spark, sf_dir):
     return quality.gate(signal_view(spark, sf_dir), CONFIG.quality)
 
