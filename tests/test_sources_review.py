@@ -109,6 +109,30 @@ def test_percentile_is_exact(spark):
     assert got["c"] == 0.0
 
 
+def test_percentile_widens_brackets_that_miss(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", 1.0)] * 900 + [("b", float(v)) for v in range(100)]
+    data += [("n", float("nan"))] * 20 + [("n", 1.0)] * 5 + [("e", None), (None, 3.0)] + [("new", float(v)) for v in range(50)]
+    rows = spark.createDataFrame(data, "g string, v double")
+    # Kept from rows that lie elsewhere, of a group without values, and none for the group "new".
+    stale = spark.createDataFrame([("a", 50.0 + i) for i in range(500)] + [("b", -5.0), ("n", float("nan"))], "g string, v double")
+    quality.keep_sketches(stale, str(tmp_path), "1", "g", "v")
+    quality.keep_sketches(stale, str(tmp_path), "1", "g", "v")
+    quality.keep_sketches(rows.where("v > 0"), str(tmp_path), "2", "g", "v")
+    kept = quality.kept_sketches(spark, str(tmp_path), "g")
+    assert {r["g"]: r["n"] for r in kept.select("g", F.kll_sketch_get_n_double("sketch").alias("n")).collect()}["b"] == 1000
+    for percent in (0, 15, 50, 100):
+        got = {r["g"]: (r["samples"], r["threshold"]) for r in quality.group_percentile(rows, "g", "v", percent, 8, sketches=kept).collect()}
+        assert sorted(got) == ["a", "b", "n", "new"]
+        for g in got:
+            values = sorted(v for k, v in data if k == g)
+            want = np.percentile(values, percent) if g != "n" else (1.0 if percent <= 15 else float("nan"))
+            assert got[g] == (len(values), pytest.approx(want, nan_ok=True))
+    assert quality.group_percentile(rows.where("false"), "g", "v", 15, 8).count() == 0
+
+
 def test_print_gate(spark):
     grid = spark.createDataFrame([("full", 0, 0.12, 0.12, 11.76, 11.76)], "template string, pos int, x double, y double, w double, h double")
     sizes = spark.createDataFrame([("a1", 200, 200), ("a2", 3600, 3600)], "asset_id string, px_w int, px_h int")
@@ -148,6 +172,29 @@ def test_leak_rules(spark):
     }
 
 
+def test_leak_scan_with_a_long_blocklist(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abAB") for _ in range(rng.randint(1, 5)))
+    names, strings = ["ab", "abab", "", "b.a"] + [word() + "x" for _ in range(300)], ["AB x", "ba", "ba", "É"] + [word() + "y" for _ in range(3_000)]
+    dates = ["2020-01", "2020-01-02", "01-02"]
+    lines = ["".join(rng.choice(["ab", "B", "x", "y", " ", "é", "1", ".", "2020-01-02"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    rows = spark.createDataFrame([(f"p{i}", line) for i, line in enumerate(lines)] + [("none", None)], "path string, text string")
+    want = []
+    for i, line in enumerate(lines):
+        want += [(f"p{i}", "STRING", t) for t in strings if t.lower() in line.lower()]
+        pattern = "(?i)(?<![a-z])(?:" + "|".join(re.escape(n) for n in names if n) + ")(?![a-z])"
+        want += [(f"p{i}", "NAME", m) for m in re.findall(pattern, line, re.ASCII)]
+        want += [(f"p{i}", "PERSONAL_DATE", m) for m in re.findall("|".join(dates), line)]
+    found = audit.leak_scan(rows, audit.Blocklist(tuple(names), tuple(strings), tuple(dates))).where("rule <> 'DATE'")
+    assert len(want) > 1_000
+    assert sorted((r["path"], r["rule"], r["match"]) for r in found.collect()) == sorted(want)
+    with pytest.raises(ValueError, match="blocklist"):
+        audit.leak_scan(rows, audit.Blocklist(names=("x" * (audit.BLOCKLIST_CHARS + 1),)))
+
+
 def test_unsorted_prefixes(spark):
     rows = spark.createDataFrame([("01_a/9999_x.jpg",), ("01_a/10000_x.jpg",), ("01_a/1000_x.jpg",), ("02_b/0001_x.jpg",)], "file string")
     assert [r["folder"] for r in audit.unsorted_folders(rows).collect()] == ["01_a"]
