@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import flags, text
-from gleaner.operators import catalog, chapters, export, moments, neardup, numbering
+from gleaner.operators import catalog, chapters, export, facetindex, moments, neardup, numbering
 from gleaner.plans.assets import CHAPTERS, asset_view, iso, sql, table
 from gleaner.plans.queries_review import FEED_CTE, feed
 from gleaner.plans.registry import query
+from gleaner.session import checkpoint_dir
 from gleaner.sources import files, snapshot
 
 # Review entries double as placements: conversation = spread, turn = side and cell.
@@ -171,6 +174,42 @@ def f4_facet_filter(spark, sf_dir):
     return out
 
 
+def facet_index(spark, sf_dir):
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/facets-{uuid.uuid4().hex}"
+    facetindex.write_index(asset_view(spark, sf_dir), uses(spark, sf_dir), folder)
+    return folder
+
+
+def conditions(args):
+    """The arguments of a facet filter as (facet, value) conditions."""
+    return [(facet, "true" if value is True else value) for facet, value in args.items()]
+
+
+@query("f4_bitmap_filter", sql(USES_CTE + " UNION ALL ".join(
+    f" SELECT '{k}' AS filter, asset_id FROM assets WHERE {w}" for k, (_, w) in FILTERS.items())))
+def f4_bitmap_filter(spark, sf_dir):
+    folder, out = facet_index(spark, sf_dir), None
+    for name, (args, _) in FILTERS.items():
+        part = facetindex.ids_filtered(spark, folder, conditions(args)).select(F.lit(name).alias("filter"), "asset_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("a6_bitmap_counts", sql(USES_CTE + ", f AS (" + " UNION ALL ".join(
+    f" SELECT '{k}' AS filter, * FROM assets WHERE {w}" for k, (_, w) in FILTERS.items()) + f""")
+SELECT filter, 'era' AS facet, chapter AS value, count(*) AS n FROM f GROUP BY ALL
+UNION ALL SELECT filter, 'event', event, count(*) FROM f WHERE event IS NOT NULL GROUP BY ALL
+UNION ALL SELECT filter, 'month', left(best_datetime, 7), count(*) FROM f WHERE best_datetime IS NOT NULL GROUP BY ALL
+UNION ALL SELECT filter, 'tag', t, count(*) FROM (SELECT filter, unnest({TAG_LIST}) AS t FROM f) GROUP BY ALL"""))
+def a6_bitmap_counts(spark, sf_dir):
+    """The facet values left under each filter, with their counts."""
+    folder, out = facet_index(spark, sf_dir), None
+    for name, (args, _) in FILTERS.items():
+        part = facetindex.facet_counts(spark, folder, conditions(args)).select(F.lit(name).alias("filter"), "facet", "value", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("f9_theme_filter", sql(FEED_CTE + f""", t AS (
   SELECT asset_id, unnest(list_concat(['*'], CASE WHEN length({TAG_LIST}) = 0 THEN [''] ELSE list_distinct({TAG_LIST}) END)) AS theme FROM assets
 ), c AS (SELECT DISTINCT asset_id FROM feed WHERE verdict = 'reject')
