@@ -99,19 +99,10 @@ def manifest(ordered: DataFrame, label_names: bool = False) -> DataFrame:
     )
 
 
-def write_manifest(rows: DataFrame, folder: str) -> None:
-    """CSV in global order: range-partitioned and sorted, so the part files follow one another."""
-    rows.orderBy("order").write.mode("overwrite").csv(f"{folder}/manifest", header=True)
-
-
 def caption_lines(rows: DataFrame) -> DataFrame:
     return rows.where("caption <> ''").select("order", F.concat_ws("\t", "file", "caption").alias("value"))
 
 
-def write_captions(rows: DataFrame, folder: str) -> None:
-    caption_lines(rows).orderBy("order").select("value").write.mode("overwrite").text(f"{folder}/captions")
-
-
 def order_stamps(ordered: DataFrame) -> DataFrame:
     """(asset_id, stamp): an artificial time that makes a date sort reproduce the order."""
     return ordered.select(

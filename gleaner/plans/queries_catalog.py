@@ -12,7 +12,7 @@ from gleaner.plans.assets import CHAPTERS, asset_view, iso, sql, table
 from gleaner.plans.queries_review import FEED_CTE, feed
 from gleaner.plans.registry import query
 from gleaner.session import checkpoint_dir
-from gleaner.sources import files, snapshot
+from gleaner.sources import files, sinks, snapshot
 
 # Review entries double as placements: conversation = spread, turn = side and cell.
 USES_CTE = FEED_CTE + """, uses AS (
@@ -351,12 +351,18 @@ MANIFEST_CTE = FILES_CTE + """, man AS (
 
 @query("s12_export_manifest", sql(MANIFEST_CTE + " SELECT * FROM man"))
 def s12_export_manifest(spark, sf_dir):
-    return export.manifest(sourced(spark, sf_dir))
+    """The manifest as it comes back from the written CSV."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    sinks.write_manifest(export.manifest(sourced(spark, sf_dir)), folder)
+    return sinks.read_manifest(spark, folder)
 
 
 @query("s13_captions_sink", sql(MANIFEST_CTE + " SELECT file || chr(9) || caption AS value FROM man WHERE caption <> ''"))
 def s13_captions_sink(spark, sf_dir):
-    return export.caption_lines(export.manifest(sourced(spark, sf_dir))).select("value")
+    """The caption lines as they come back from the written text."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    sinks.write_captions(export.manifest(sourced(spark, sf_dir)), folder)
+    return sinks.read_captions(spark, folder)
 
 
 @query("p8_label_filename", sql(FILES_CTE + f""", t AS (

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner.operators import review
 from gleaner.plans.assets import asset_view, sql, table
 from gleaner.plans.registry import query
+from gleaner.session import checkpoint_dir
 from gleaner.sources import sweeps
 
 FEED_CTE = """, ids AS (SELECT doc_id, sha1(text) AS asset_id FROM documents),
@@ -201,6 +205,52 @@ def s7_read_sweeps(spark, sf_dir):
     return sweeps.parse_decisions(documents).select("file", "asset_id", F.lower("verdict").alias("verdict"))
 
 
+def sweep_documents(spark, sf_dir):
+    """(kind, file, value): each conversation as one JSON document of every kind that lists ids."""
+    entries = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    conv = F.col("conv_id")
+    # A document holds its conversation; the turns of one role stand under that theme.
+    listed = F.transform(F.array_sort(F.collect_list("turn")), lambda t: t.cast("string"))
+    whole = entries.groupBy("conv_id").agg(listed.alias("asset_ids"))
+    themes = entries.groupBy("conv_id", "role").agg(listed.alias("ids")).groupBy("conv_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit(" "), "role"), "ids"))).alias("themes"))
+    era = F.concat(F.lit("era_"), (conv % 3).cast("string"))
+    date = F.when(conv % 2 == 0, F.concat(F.lit("2024-0"), (conv % 9 + 1).cast("string")))
+    as_kind = lambda kind, rows, *fields: rows.select(
+        F.lit(kind).alias("kind"), F.lpad(conv.cast("string"), 6, "0").alias("file"), F.to_json(F.struct(*fields)).alias("value"))
+    odd, even = whole.where(conv % 2 == 1), themes.where(conv % 2 == 0)
+    parts = [
+        as_kind("eras", whole, era.alias("era"), "asset_ids"),
+        as_kind("events", whole, F.concat(F.lit("Event "), (conv % 7).cast("string")).alias("event"), date.alias("date"), "asset_ids"),
+        as_kind("tags", odd, F.lit(" odd ").alias("tag"), "asset_ids"),
+        as_kind("tags", even, "themes"),
+        as_kind("cuts", whole, F.when(conv % 5 > 0, era).alias("era"), F.col("asset_ids").alias("cut")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("s7_sweep_kinds", """
+WITH e AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL),
+n AS (SELECT lpad(conv_id::VARCHAR, 6, '0') AS file, turn::VARCHAR AS asset_id, conv_id, role, 'era_' || conv_id % 3 AS era,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS role_seq FROM e)
+SELECT 'eras' AS kind, file, seq, asset_id, era AS label, NULL AS date FROM n
+UNION ALL SELECT 'events', file, seq, asset_id, 'Event ' || conv_id % 7, CASE WHEN conv_id % 2 = 0 THEN '2024-0' || (conv_id % 9 + 1) END FROM n
+UNION ALL SELECT 'tags', file, CASE WHEN conv_id % 2 = 0 THEN role_seq ELSE seq END, asset_id, CASE WHEN conv_id % 2 = 0 THEN role ELSE 'odd' END, NULL FROM n
+UNION ALL SELECT 'cuts', file, seq, asset_id, CASE WHEN conv_id % 5 > 0 THEN era ELSE '?' END, NULL FROM n""")
+def s7_sweep_kinds(spark, sf_dir):
+    """Era, event, tag (both shapes) and cut sweeps, stored as documents and read back by their parsers."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/sweeps-{uuid.uuid4().hex}"
+    sweep_documents(spark, sf_dir).write.partitionBy("kind").parquet(folder)
+    labels = {"eras": "era", "events": "event", "tags": "tag", "cuts": "era"}
+    parts = []
+    for kind, label in labels.items():
+        rows = sweeps.PARSERS[kind](spark.read.schema("file string, value string").parquet(f"{folder}/kind={kind}"))
+        date = F.col("date") if kind == "events" else F.lit(None).cast("string")
+        parts.append(rows.select(F.lit(kind).alias("kind"), "file", F.col("seq").cast("bigint").alias("seq"), "asset_id",
+                                 F.col(label).alias("label"), date.alias("date")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 # --- selections -------------------------------------------------------------------------------
 
 SELECTIONS = {

@@ -64,6 +64,19 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def move_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder inside its file system; False if there is none. A rename that fails raises."""
+    jvm = spark._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    system = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(here):
+        return False
+    system.mkdirs(there.getParent())
+    if not system.rename(here, there):
+        raise OSError(f"could not move {source} to {target}")
+    return True
+
+
 def release(rows: DataFrame) -> None:
     """Delete what ``cut_lineage`` wrote, once nothing reads it any more."""
     folder = getattr(rows, "_folder", None)

@@ -26,22 +26,6 @@ def date_audit(assets: DataFrame) -> DataFrame:
     )
 
 
-def append_metrics(spark, folder: str, stage: str, metrics: dict) -> None:
-    """One row per metric: (stage, metric, value, run_at)."""
-    rows = [(stage, name, float(value)) for name, value in metrics.items()]
-    spark.createDataFrame(rows, "stage string, metric string, value double").withColumn(
-        "run_at", F.current_timestamp()
-    ).write.mode("append").parquet(folder)
-
-
-def melt_metrics(summary: DataFrame, stage: str) -> DataFrame:
-    """A one-row summary as (stage, metric, value) rows."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in summary.columns]
-    )
-    return summary.select(F.lit(stage).alias("stage"), F.inline(pairs))
-
-
 def resolution_report(measured: DataFrame, sources: DataFrame) -> DataFrame:
     """One row: full and reduced sources, cells below 300 and 240 dpi, and one integrity sample.
 
@@ -62,5 +46,5 @@ def resolution_report(measured: DataFrame, sources: DataFrame) -> DataFrame:
         *[F.max(c).alias(c) for c in ("page_count", "dpi_flags", "below_floor", "full_sources", "reduced_sources", "s")]
     ).select(
         "page_count", "dpi_flags", "below_floor", "full_sources", "reduced_sources",
-        F.col("s.asset_id").alias("sample_id"), (F.col("s.asset_id") == F.col("s.sha1")).alias("sample_matches"),
+        F.col("s.asset_id").alias("sample_id"), (F.col("s.asset_id").cast("string") == F.col("s.sha1")).alias("sample_matches"),
     )

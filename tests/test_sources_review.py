@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Chapter, load_config
 from gleaner.operators import audit, chapters, export, faces, placement, quality, review
-from gleaner.sources import book, files, reports, snapshot, sweeps
+from gleaner.sources import book, files, sinks, snapshot, sweeps
 from gleaner.streaming import jobs
 
 
@@ -220,10 +220,29 @@ def test_snapshot_upsert_and_sinks(spark, tmp_path):
     full = snapshot.evolve(spark.createDataFrame([("a",)], "asset_id string"))
     assert len(full.columns) == 33
     lines = spark.createDataFrame([(2, "b.jpg", ""), (1, "a.jpg", "hello")], "order int, file string, caption string")
-    export.write_captions(lines, str(tmp_path))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "captions")).collect()] == ["a.jpg\thello"]
-    reports.append_metrics(spark, str(tmp_path / "log"), "dedup", {"total": 3})
-    assert spark.read.parquet(str(tmp_path / "log")).first()["value"] == 3.0
+    sinks.write_captions(lines, str(tmp_path))
+    assert [r[0] for r in sinks.read_captions(spark, str(tmp_path)).collect()] == ["a.jpg\thello"]
+
+
+def test_sinks_hold_whole_results_or_the_former_ones(spark, tmp_path):
+    folder, schema = str(tmp_path), sinks.MANIFEST
+    row = lambda n, caption: (n, "c", "C", f"c/{n}.jpg", "2024-01-01", "s", 0, "", 'a "b", c', "full", caption)
+    first = [row(2, "two\nlines, \"quoted\" \\"), row(1, "")]
+    sinks.write_manifest(spark.createDataFrame(first, schema), folder)
+    assert [tuple(r) for r in sinks.read_manifest(spark, folder).orderBy("order").collect()] == first[::-1]
+    broken = spark.createDataFrame(first, schema).withColumn("res", F.when(F.col("order") < 2, F.col("res")).otherwise(
+        F.raise_error(F.lit("no such file")).cast("string")))
+    with pytest.raises(Exception, match="no such file"):
+        sinks.write_manifest(broken, folder)
+    assert sinks.read_manifest(spark, folder).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["manifest"]
+    sinks.write_manifest(spark.createDataFrame([row(7, "x")], schema), folder)
+    assert [r["order"] for r in sinks.read_manifest(spark, folder).collect()] == [7]
+    sinks.write_captions(spark.createDataFrame(first, schema), folder)
+    assert [r[0] for r in sinks.read_captions(spark, folder).collect()] == ['c/2.jpg\ttwo lines, "quoted" \\']
+    for value, run in ((1, "a"), (2, "a"), (3, "b")):
+        sinks.write_metrics(spark.createDataFrame([(value,)], "total int"), f"{folder}/log", "dedup", run)
+    log = sinks.read_metrics(spark, f"{folder}/log")
+    assert sorted((r["stage"], r["run"], r["metric"], r["value"]) for r in log.collect()) == [("dedup", "a", "total", 2.0), ("dedup", "b", "total", 3.0)]
 
 
 def test_config_files(tmp_path):
