@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.config import ChapterStory
 from gleaner.functions import geometry
 from gleaner.operators.numbering import number_rows
-from gleaner.session import refuse
+from gleaner.session import dimension, refuse
 
 PER_SPREAD = 7
 TOO_FEW = "a chapter has fewer than four rows"
@@ -137,6 +138,48 @@ def number_spreads(pages: DataFrame, chapter_dim: DataFrame) -> DataFrame:
     ).drop("_start")
 
 
+def override_table(spark: SparkSession, stories: dict[str, ChapterStory]) -> DataFrame:
+    """(chapter, chapter_page, wanted, show_title, own_style): the configured page overrides, a row per page."""
+    rows = [
+        (chapter, int(number), list(page.get("assets") or []), page.get("show_title"), page.get("layout_style"))
+        for chapter, story in sorted(stories.items()) for number, page in story.page_overrides.items() if page
+    ]
+    return dimension(
+        spark, rows, "chapter string, chapter_page int, wanted array<string>, show_title boolean, own_style string"
+    )
+
+
+def apply_overrides(pages: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Adds fixed, own_style and title, and puts the items of an overridden page in the wanted order.
+
+    A list that is not exactly the page's items is refused; an override of a page that the book does not have is not
+    used. The title band is on both pages of a chapter's opener, unless the left page hides its title and the right one
+    does not show it.
+    """
+    key = ["chapter", "chapter_page"]
+    ordered = overrides.where(F.size("wanted") > 0).select(*key, "wanted")
+    given = pages.join(ordered.select(*key), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("asset_id")).alias("_given"))
+    checked = refuse(
+        ordered.join(given, key), F.array_sort("wanted") != F.col("_given"), "a page override must list exactly the page's items"
+    ).select(*key, "wanted")
+    shows = overrides.where(F.col("chapter_page") <= 2).groupBy("chapter").agg(
+        F.max(F.when(F.col("chapter_page") == 1, F.col("show_title"))).alias("_left"),
+        F.max(F.when(F.col("chapter_page") == 2, F.col("show_title"))).alias("_right"),
+    )
+    hidden = F.coalesce(~F.col("_left"), F.lit(False)) & ~F.coalesce("_right", F.lit(False))
+    return (
+        pages.join(checked, key, "left")
+        .join(overrides.select(*key, "own_style"), key, "left")
+        .join(shows, "chapter", "left")
+        .withColumns({
+            "cell": F.coalesce(F.array_position("wanted", F.col("asset_id")) - 1, F.col("cell")),
+            "fixed": F.col("wanted").isNotNull(),
+            "title": F.col("opener") & ~hidden,
+        })
+        .drop("wanted", "_left", "_right")
+    )
+
+
 def page_counts(n: Column, allow_single: Column | bool = False) -> Column:
     """Rows per page as an array: an even number of pages with two to five rows each.
 
@@ -158,6 +201,15 @@ def page_counts(n: Column, allow_single: Column | bool = False) -> Column:
     return F.when(n < 1, F.array().cast("array<bigint>")).when((n == 3) & single, three).when((n >= 4) & fits, spread)
 
 
+def split_pages(sizes: DataFrame, allow_single: bool = False, set_aside: bool = False) -> DataFrame:
+    """(chapter, page_no, items) for (chapter, n) rows. A chapter whose rows fill no pages is refused; with ``set_aside``
+    it comes as one row without a page number that holds all its rows."""
+    counts = page_counts(F.col("n"), allow_single)
+    rows = sizes if set_aside else refuse(sizes, counts.isNull(), "a chapter's rows can't be dealt to pages of two to five")
+    split = rows.select("chapter", "n", F.posexplode_outer(counts).alias("at", "items"))
+    return split.where("n > 0").select("chapter", (F.col("at") + 1).cast("bigint").alias("page_no"), F.coalesce("items", "n").alias("items"))
+
+
 def spread_labels(pages: DataFrame) -> DataFrame:
     """Per spread: counts, roles, weights, styles and archetype.
 

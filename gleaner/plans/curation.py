@@ -86,14 +86,18 @@ def compose(
     fitting, unplaced = pagination.set_small_aside(selected)
     placed = pagination.place_on_spreads(fitting)
     pages = pagination.assign_pages(placed, pagination.story_aware_left(placed))
+    pages = pagination.apply_overrides(pages, pagination.override_table(spark, config.story))
     book = cut_lineage(pagination.number_spreads(pages, chapter_dim(spark, config.chapters)))
 
     weight = flags.feature_weight(F.col("is_hero"), F.col("favorited"), F.col("tags"))
     items = book.select(
         F.col("page_number").alias("page"), F.col("cell").alias("pos"), "asset_id", F.col("w").alias("px_w"),
-        F.col("h").alias("px_h"), weight.alias("weight"), F.col("opener").alias("title"),
+        F.col("h").alias("px_h"), weight.alias("weight"), "title",
     )
-    found = layout.strip_candidates(layout.page_rows(items), layout.default_recipes(spark))
+    settings = book.select(F.col("page_number").alias("page"), "fixed", "own_style").distinct()
+    rows = layout.page_rows(items).join(settings, "page")
+    rows = rows.withColumn("style", F.coalesce("own_style", geometry.layout_style(F.col("k")))).drop("own_style")
+    found = layout.strip_candidates(rows, layout.recipe_table(spark))
     sides = book.select(F.col("page_number").alias("page"), "spread", "side", "chapter", "opener").distinct()
     laid = cut_lineage(layout.align_pair(layout.facing_pair(found.join(sides.drop("chapter", "opener"), "page"))))
 

@@ -251,12 +251,12 @@ e AS (SELECT chapter, n, p0 + p0 % 2 AS pages FROM p),
 i AS (SELECT *, unnest(range(0, pages)) AS i, n // pages AS base, n % pages AS extra FROM e WHERE n >= 4)
 SELECT chapter, i + 1 AS page_no, base + CASE WHEN pages = 2 AND extra = 1 THEN (i = CASE WHEN base % 2 = 0 THEN 0 ELSE 1 END)::INTEGER
   ELSE (CASE WHEN i % 2 = 1 THEN i // 2 ELSE pages // 2 + i // 2 END < extra)::INTEGER END AS items FROM i
-UNION ALL SELECT chapter, unnest([1, 2]), unnest([1, 2]) FROM n WHERE n = 3""")
+UNION ALL SELECT chapter, unnest([1, 2]), unnest([1, 2]) FROM n WHERE n = 3
+UNION ALL SELECT chapter, 0, n FROM n WHERE n < 3""")
 def w14_page_counts(spark, sf_dir):
     sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chapter")).agg(F.count("*").alias("n"))
-    return sizes.select(
-        "chapter", F.posexplode(pagination.page_counts(F.col("n"), allow_single=True)).alias("at", "items")
-    ).select("chapter", (F.col("at") + 1).cast("bigint").alias("page_no"), "items")
+    found = pagination.split_pages(sizes, allow_single=True, set_aside=True)
+    return found.withColumn("page_no", F.coalesce("page_no", F.lit(0)))  # 0: set aside, no page
 
 
 @query("f5_draft_pool", sql("""SELECT asset_id, chapter FROM assets WHERE review_status = 'accept'

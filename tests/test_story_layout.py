@@ -7,6 +7,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.config import ChapterStory
 from gleaner.functions import geometry
 from gleaner.operators import layout, numbering, pagination, story
 
@@ -128,6 +129,37 @@ def test_small_chapters_are_refused_or_set_aside(spark):
         pagination.number_spreads(pages, spark.createDataFrame([("z", 1)], "chapter string, chapter_no int")).collect()
 
 
+def test_page_overrides_order_pages_and_move_titles(spark):
+    rows = [(c, f"{c}{i}", i, "") for c in "ab" for i in range(8)]
+    selected = spark.createDataFrame(rows, "chapter string, asset_id string, story_order bigint, story_group string")
+    placed = pagination.place_on_spreads(selected)
+    pages = pagination.assign_pages(placed, pagination.story_aware_left(placed))
+    plain = sorted(pages.select("chapter", "chapter_page", "cell", "asset_id").collect())
+    first = [r["asset_id"] for r in plain if r["chapter"] == "a" and r["chapter_page"] == 1]
+    def book(**by_chapter):
+        stories = {c: ChapterStory(page_overrides=o) for c, o in by_chapter.items()}
+        return pagination.apply_overrides(pages, pagination.override_table(spark, stories)).orderBy("chapter", "chapter_page", "cell").collect()
+    turned = [*first[1:], first[0]]
+    got = book(a={"1": {"assets": turned, "layout_style": "masonry_quad"}, "9": {"assets": ["x"]}, "2": {"show_title": False}}, b={"1": {"show_title": False}})
+    assert len(got) == len(rows)
+    assert [r["asset_id"] for r in got if (r["chapter"], r["chapter_page"]) == ("a", 1)] == turned
+    assert {(r["chapter"], r["chapter_page"]) for r in got if r["fixed"]} == {("a", 1)} == {(r["chapter"], r["chapter_page"]) for r in got if r["own_style"]}
+    assert {(r["chapter"], r["opener"], r["title"]) for r in got} == {("a", True, True), ("a", False, False), ("b", True, False), ("b", False, False)}
+    assert {r["title"] for r in book(b={"1": {"show_title": False}, "2": {"show_title": True}}) if r["chapter"] == "b" and r["opener"]} == {True}
+    assert sorted((r["chapter"], r["chapter_page"], r["cell"], r["asset_id"]) for r in book()) == [tuple(r) for r in plain]
+    for wrong in (first[:-1], [*first, first[0]], [*first[:-1], "b0"], [first[0]] * len(first)):
+        with pytest.raises(Exception, match="must list exactly"):
+            book(a={"1": {"assets": wrong}})
+
+
+def test_pages_without_a_split_are_refused_or_set_aside(spark):
+    sizes = spark.createDataFrame([("a", 9), ("b", 1), ("c", 3), ("d", 0)], "chapter string, n bigint")
+    with pytest.raises(Exception, match="can't be dealt"):
+        pagination.split_pages(sizes, allow_single=True).collect()
+    got = pagination.split_pages(sizes, allow_single=True, set_aside=True).groupBy("chapter").agg(F.sum("items").alias("n"), F.count("page_no").alias("p"))
+    assert {tuple(r) for r in got.collect()} == {("a", 9, 4), ("b", 1, 0), ("c", 3, 2)}
+
+
 def twin_rows(ratios, sizes, dense):
     """Rows of a calm or dense page: (w, h) per item."""
     lines, at = [], 0
