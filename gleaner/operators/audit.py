@@ -39,6 +39,8 @@ class Blocklist:
     strings: tuple[str, ...] = ()
     dates: tuple[str, ...] = ()
     known_dates: tuple[str, ...] = ()
+    # False: a character between two names bounds one of them only, as in a pattern without lookaround.
+    shared_bounds: bool = True
 
 
 def _hits(rule: str, matches: Column) -> Column:
@@ -66,17 +68,20 @@ def _automaton(words: Sequence[str]) -> ahocorasick.Automaton | None:
     return found
 
 
-def _leftmost(automaton, line: str, whole_words: bool) -> Iterator[tuple[int, int]]:
-    """(start, end) from left to right without overlaps; of words that start together the first in the list counts."""
+def _leftmost(automaton, line: str, whole_words: bool, shared_bounds: bool = True) -> Iterator[tuple[int, int]]:
+    """(start, end) from left to right without overlaps; of words that start together the first in the list counts.
+
+    Without ``shared_bounds`` a match takes the characters beside it too, so they bound no further match.
+    """
     fits = []
     for last, (length, at) in automaton.iter(line):
         start, end = last + 1 - length, last + 1
         if not whole_words or not (line[start - 1 : start] in LETTERS or line[end : end + 1] in LETTERS):
             fits.append((start, at[0], end))
-    free = 0
+    free, beside = 0, int(whole_words and not shared_bounds)
     for start, _, end in sorted(fits):
-        if start >= free:
-            free = end
+        if max(0, start - beside) >= free:
+            free = end + beside
             yield start, end
 
 
@@ -95,7 +100,7 @@ def _listed(blocklist: Blocklist):
                 seen = {place for _, (_, at) in strings.iter(line.lower()) for place in at}
                 out += [("STRING", blocklist.strings[place]) for place in sorted(seen)]
             if names:
-                out += [("NAME", line[a:b]) for a, b in _leftmost(names, line.translate(FOLD), True)]
+                out += [("NAME", line[a:b]) for a, b in _leftmost(names, line.translate(FOLD), True, blocklist.shared_bounds)]
             if dates:
                 out += [("PERSONAL_DATE", line[a:b]) for a, b in _leftmost(dates, line, False)]
             return [{"rule": rule, "match": match} for rule, match in out]

@@ -195,6 +195,19 @@ def test_leak_scan_with_a_long_blocklist(spark):
         audit.leak_scan(rows, audit.Blocklist(names=("x" * (audit.BLOCKLIST_CHARS + 1),)))
 
 
+def test_names_that_share_a_bound(spark):
+    import re
+
+    lines = ["lorem lorem lorem", "lorem", " lorem  Lorem,worthless", "lorem lorem. lorem", "xlorem lorem lorem", "loremlorem lorem", "worthless lorem"]
+    rows = spark.createDataFrame([(str(i), line) for i, line in enumerate(lines)], "path string, text string")
+    names = ("worthless", "lorem")
+    count = lambda pattern: sorted((str(i), m) for i, line in enumerate(lines) for m in re.findall(pattern, line))
+    hits = lambda **how: sorted((r["path"], r["match"]) for r in audit.leak_scan(rows, audit.Blocklist(names, **how)).collect())
+    assert hits() == count("(?i)(?<![a-z])(worthless|lorem)(?![a-z])")
+    spent = count("(?i)(?:^|[^a-z])(worthless|lorem)(?:[^a-z]|$)")
+    assert hits(shared_bounds=False) == spent != hits()
+
+
 def test_unsorted_prefixes(spark):
     rows = spark.createDataFrame([("01_a/9999_x.jpg",), ("01_a/10000_x.jpg",), ("01_a/1000_x.jpg",), ("02_b/0001_x.jpg",)], "file string")
     assert [r["folder"] for r in audit.unsorted_folders(rows).collect()] == ["01_a"]
