@@ -49,24 +49,25 @@ def best_source(assets: DataFrame, files: DataFrame, archive: DataFrame) -> Data
     """Adds source_path and source_kind: the staged file, else an archive entry whose bytes hash to
     the id, else the reduced derivative, else NULL.
 
-    files: path. archive: zip_source, zip_entry, sha1.
+    files: path. archive: zip_source, zip_entry, sha1. Several entries may share a name, as camera counters do: the one
+    with the asset's bytes counts, and an asset stays one row.
     """
     here = files.select("path").distinct()
     staged = here.select(F.col("path").alias("staged_original_path"), F.lit(True).alias("_staged"))
     derived = here.select(F.col("path").alias("derivative_path"), F.lit(True).alias("_derived"))
-    entries = archive.select("zip_source", "zip_entry", F.col("sha1").alias("_sha1"))
+    entries = archive.select("zip_source", "zip_entry", F.col("sha1").alias("asset_id"), F.lit(True).alias("_zipped")).distinct()
     option = lambda ok, path, kind: F.when(ok, F.struct(path.alias("path"), F.lit(kind).alias("kind")))
     chosen = F.coalesce(
         option(F.col("_staged"), F.col("staged_original_path"), "original"),
-        option(F.col("_sha1") == F.col("asset_id"), F.concat_ws("!", "zip_source", "zip_entry"), "original"),
+        option(F.col("_zipped"), F.concat_ws("!", "zip_source", "zip_entry"), "original"),
         option(F.col("_derived"), F.col("derivative_path"), "derivative"),
     )
     return (
         assets.join(staged, "staged_original_path", "left")
         .join(derived, "derivative_path", "left")
-        .join(entries, ["zip_source", "zip_entry"], "left")
+        .join(entries, ["zip_source", "zip_entry", "asset_id"], "left")
         .withColumns({"source_path": chosen["path"], "source_kind": chosen["kind"]})
-        .drop("_staged", "_derived", "_sha1")
+        .drop("_staged", "_derived", "_zipped")
     )
 
 
