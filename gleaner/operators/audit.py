@@ -174,6 +174,24 @@ def match_by_prefix(exported: DataFrame, accepted: DataFrame) -> DataFrame:
     return exported.withColumn("id8", F.regexp_extract(stem, r"([^_]*)$", 1)).join(short, "id8", "left").drop("id8")
 
 
+def match_copies(exported: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Adds asset_id to exported files. Where ids share the prefix (some in every 100,000 ids), the one that the file's bytes
+    hash to, else one with the date in the name, else the smallest.
+
+    exported: file, sha1. accepted: asset_id and, if known, date.
+    """
+    stem = F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    date = F.col("date") if "date" in accepted.columns else F.lit(None).cast("string")
+    ids = accepted.groupBy(F.substring("asset_id", 1, 8).alias("id8")).agg(F.collect_set(F.struct("asset_id", date.alias("date"))).alias("ids"))
+    fit = lambda c: F.struct(
+        (~F.col("sha1").eqNullSafe(c["asset_id"])).alias("other_bytes"),
+        ~F.coalesce(F.contains(stem, F.concat(F.lit("_"), c["date"], F.lit("_"))), F.lit(False)), c["asset_id"].alias("asset_id"),
+    )
+    return exported.withColumn("id8", F.regexp_extract(stem, r"([^_]*)$", 1)).join(ids, "id8", "left").withColumn(
+        "asset_id", F.array_min(F.transform("ids", fit))["asset_id"]
+    ).drop("id8", "ids")
+
+
 def unsorted_folders(exported: DataFrame) -> DataFrame:
     """Folders where a name sort breaks the order of the number prefixes.
 
@@ -194,10 +212,10 @@ def unsorted_folders(exported: DataFrame) -> DataFrame:
 def verify_export(accepted: DataFrame, exported: DataFrame, manifest: DataFrame, has_proof: bool) -> DataFrame:
     """(check, passed, detail): the export audit.
 
-    accepted: asset_id, derivative_edge, staged_sha1 (NULL without a staged file).
+    accepted: asset_id, derivative_edge, staged_sha1 (NULL without a staged file), date if known.
     exported: file, long_edge, sha1. manifest: one row per manifest line.
     """
-    matched = match_by_prefix(exported, accepted)
+    matched = match_copies(exported, accepted)
     known = matched.where("asset_id IS NOT NULL")
     one = lambda df, c="n": df.agg(F.count("*").alias(c))
     sides = one(exported, "e").unionByName(one(accepted, "a"), allowMissingColumns=True).unionByName(

@@ -208,6 +208,32 @@ def test_names_that_share_a_bound(spark):
     assert hits(shared_bounds=False) == spent != hits()
 
 
+def test_archive_names_that_several_assets_share(spark):
+    assets = spark.createDataFrame([(i, "z", "IMG_1.jpg", None, None) for i in "abc"], "asset_id string, zip_source string, zip_entry string, staged_original_path string, derivative_path string")
+    archive = spark.createDataFrame([("z", "IMG_1.jpg", i) for i in ("a", "c", "c", "damaged")], "zip_source string, zip_entry string, sha1 string")
+    found = export.best_source(assets, spark.createDataFrame([], "path string"), archive)
+    assert sorted((r["asset_id"], r["source_kind"]) for r in found.collect()) == [("a", "original"), ("b", None), ("c", "original")]
+
+
+def test_numbers_over_four_digits(spark):
+    from gleaner.plans.queries_catalog import four_digits, listed
+
+    assert [r[0] for r in spark.range(9, 12346, 12336).select(four_digits(F.col("id"))).collect()] == ["0009", "1234"]
+    row = spark.sql("SELECT 'original' source_kind, '.jpg' ext, '2024-01-05T00:00:00' best_datetime, 12345 index, 'abcdef0123' asset_id, 'c' chapter, "
+                    "'C' chapter_title, 1 chapter_no, 1 AS `order`, 's' src, true is_hero, '' event, '' tags, '' caption")
+    assert listed(row).first()["file"] == "01_c/1234_2024-01-05_abcdef01.jpg"
+    assert export.manifest(row).first()["file"] == "01_c/12345_2024-01-05_abcdef01.jpg"
+
+
+def test_copies_of_ids_with_one_prefix(spark):
+    first, second = "abcdef01" + "0" * 32, "abcdef01" + "1" * 32
+    accepted = spark.createDataFrame([(first, 10, None, "2024-01-01"), (second, 10, None, "2024-01-02")], "asset_id string, derivative_edge int, staged_sha1 string, date string")
+    exported = spark.createDataFrame([("c/0_2024-01-01_abcdef01.jpg", 20, "damaged"), ("c/1_2024-01-02_abcdef01.jpg", 20, second)], "file string, long_edge int, sha1 string")
+    assert {r["file"][2]: r["asset_id"] for r in audit.match_copies(exported, accepted).collect()} == {"0": first, "1": second}
+    found = {r["check"]: r["detail"] for r in audit.verify_export(accepted, exported, exported.select("file"), True).collect()}
+    assert found["content"] == "1 bad"
+
+
 def test_unsorted_prefixes(spark):
     rows = spark.createDataFrame([("01_a/9999_x.jpg",), ("01_a/10000_x.jpg",), ("01_a/1000_x.jpg",), ("02_b/0001_x.jpg",)], "file string")
     assert [r["folder"] for r in audit.unsorted_folders(rows).collect()] == ["01_a"]
