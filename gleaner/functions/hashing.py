@@ -84,11 +84,15 @@ def _sum(values: Column, of=lambda x: x) -> Column:
 
 
 def _variance(values: Column) -> Column:
-    mean = _sum(values) / F.size(values)
-    return bind(
-        F.struct(mean.alias("m"), values.alias("v")),
-        lambda s: _sum(s["v"], lambda x: (x - s["m"]) * (x - s["m"])) / F.size(s["v"]),
-    )
+    """Population variance by Welford's running mean, step for step as DuckDB's, so that rows that tie in one tie in both."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["squares"] + (x - mean) * (x - acc["mean"])).alias("squares"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["squares"] / acc["n"])
 
 
 def mean_level(vector: Column) -> Column:

@@ -98,7 +98,9 @@ def group_percentile(
         if slack >= 1 or not found.where("missed").head(1):
             break
         pending, slack = rows.join(found.where("missed").select(group), group, "left_semi"), slack * 8
-    exact = F.col("lower") + (F.coalesce("upper", "lower") - F.col("lower")) * (F.col("spot") - F.floor("spot"))
+    # A value below the threshold is flagged, so a tie must interpolate to the same last digit as quantile_cont.
+    part = F.col("spot") - F.floor("spot")
+    exact = F.col("lower") * (F.lit(1.0) - part) + F.coalesce("upper", "lower") * part
     return done.select(
         group,
         F.col("n").alias("samples"),

@@ -144,3 +144,19 @@ def test_only_full_dates_are_dates(spark):
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, t string")
     got = [r[0] for r in rows.orderBy("i").select(dates.day_key(F.col("t"))).collect()]
     assert got[:2] == ["nodate"] * 2 and got[2:5] == ["2024-05-06"] * 3 and got[6] == "2024-05-06" and got[7:] == ["nodate"] * 3
+
+
+def test_variance_has_the_digits_of_the_sql(spark):
+    """The same numbers in another order may differ in the last digit; a tie at the threshold must fall as in the SQL."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(7)
+    rows = [[float(rng.randint(0, 90)) for _ in range(64)] for _ in range(300)]
+    found = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v array<double>").select(
+        "i", hashing.second_difference_variance(F.col("v")).alias("curve"), hashing.level_stddev(F.col("v")).alias("spread")
+    )
+    want = duckdb.execute("SELECT list_var_pop(list_transform(range(2, 64), lambda i: v[i-1] - 2 * v[i] + v[i+1])), list_stddev_pop(v) "
+                          "FROM (SELECT unnest(?::DOUBLE[][]) AS v)", [rows]).fetchall()
+    assert [(r["curve"], r["spread"]) for r in found.orderBy("i").collect()] == want
