@@ -138,8 +138,9 @@ def day_candidates(assets: DataFrame, distance: int = 14, pool: int = 1000) -> D
         key = F.col("phash").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
         return rows.select("day", "block", key.alias("key"), "phash", "node", "members")
 
+    # Spark does not see in a size that rows were multiplied, and would send one side whole through the driver.
     a, b = side(False).alias("a"), side(True).alias("b")
-    return a.join(
+    return a.hint("merge").join(
         b,
         (F.col("a.day") == F.col("b.day")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.node") < F.col("b.node")),
