@@ -24,7 +24,9 @@ from gleaner.session import cut_lineage, release
 # Block keys for the declared number of different fingerprints (``DedupConfig.expected_fingerprints``).
 EQUAL_BLOCKS = hashing.equal_blocks_for(DedupConfig.max_distance, DedupConfig.expected_fingerprints)
 # A bucket with more rows than this is split by a further part of the fingerprint.
-HOT_BUCKET = 256
+HOT_BUCKET = 1024
+# Words that a key may bring together by chance on average; a pool with more per key gets longer keys.
+CHANCE = 16
 UNDATED = -(10**9)  # day number of the pool of rows without a date
 
 
@@ -51,6 +53,24 @@ def fingerprint_nodes(assets: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """The nodes, stored, with a number each: candidates carry it in place of the id, which would be most of a row."""
+    return cut_lineage(nodes.withColumn("no", F.monotonically_increasing_id()))
+
+
+def _named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    side = lambda name: nodes.select(F.col("no").alias(f"{name}_no"), F.col("node").alias(name))
+    return edges.join(side("src"), "src_no").join(side("dst"), "dst_no").select(
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance"
+    )
+
+
+def _enough_blocks(pools: DataFrame, pool: list, distance: int, least: int) -> int:
+    """At least ``least`` blocks, more where the largest pool would bring more than ``CHANCE`` words under one key."""
+    largest = pools.groupBy(*pool).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(least, hashing.equal_blocks_for(distance, largest // CHANCE))
+
+
 def _keyed(nodes: DataFrame, distance: int, equal_blocks: int) -> DataFrame:
     masks = hashing.block_masks(distance, equal_blocks)
     return (
@@ -76,28 +96,27 @@ def _parted(rows: DataFrame, hot: DataFrame, bucket: list[str], distance: int) -
 def candidates(left: DataFrame, right: DataFrame, bucket: list[str], distance: int, keep: Column) -> DataFrame:
     """Pairs of keyed rows, as a and b, that share a bucket, in hot buckets also a part, and satisfy ``keep``."""
     hot = hot_buckets(right, bucket)
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*bucket, "part", "part_key")]
-    return _parted(left, hot, bucket, distance).alias("a").join(
-        _parted(right, hot, bucket, distance).alias("b"), reduce(Column.__and__, same) & keep
-    )
+    keys = [*bucket, "part", "part_key"]
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
+    # Spark does not see in a size that rows were multiplied, or what their pairs cost: it would send one side whole through
+    # the driver, or join in few tasks. A given number of partitions stays.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda rows: _parted(rows, hot, bucket, distance).repartition(tasks, *keys)
+    return side(left).alias("a").hint("merge").join(side(right).alias("b"), reduce(Column.__and__, same) & keep)
 
 
-def _near(distance: int, equal_blocks: int) -> Column:
-    """Join residual: within the distance, and seen under the pair's first shared blocks and part only."""
-    a, b = F.col("a.phash"), F.col("b.phash")
-    return (
-        (hashing.hamming64(a, b) <= distance)
-        & (F.col("a.chosen") == hashing.first_shared_blocks(a, b, distance, equal_blocks))
-        & ((F.col("a.part") < 0) | (F.col("a.part") == hashing.first_shared_part(a, b, distance)))
-    )
+def _near(distance: int) -> Column:
+    """Join residual: within the distance. A pair may share several keys; ``_edges`` keeps it once. A rule here that says which
+    key counts would make the join's loop too long for the JVM to compile, and every candidate is tested in that loop."""
+    return hashing.hamming64(F.col("a.phash"), F.col("b.phash")) <= distance
 
 
 def _edges(joined: DataFrame) -> DataFrame:
     return joined.select(
-        F.col("a.node").alias("src"),
-        F.col("b.node").alias("dst"),
+        F.col("a.no").alias("src_no"),
+        F.col("b.no").alias("dst_no"),
         hashing.hamming64(F.col("a.phash"), F.col("b.phash")).alias("distance"),
-    )
+    ).distinct()
 
 
 def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLOCKS) -> DataFrame:
@@ -105,8 +124,11 @@ def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLO
 
     Days apart 0 or 1 always share one; days two apart share one only if the middle day has rows.
     """
+    nodes = _numbered(nodes)
     days = nodes.select("day").distinct()
     day = F.col("day").try_cast("date")
+    own_day = F.coalesce(F.unix_date(day), F.lit(UNDATED)).alias("pool_day")
+    equal_blocks = _enough_blocks(nodes, [own_day], distance, equal_blocks)
     # The side that looks forward: same day, next day, and the day after where a middle day exists.
     middle = days.select(F.date_sub(F.col("day").try_cast("date"), 1).alias("before_middle"))
     forward = (
@@ -115,14 +137,13 @@ def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLO
         .withColumn("steps", F.when(F.col("date").isNull(), F.array(F.lit(0)))
                     .when(F.col("before_middle").isNotNull(), F.array(F.lit(0), F.lit(1), F.lit(2)))
                     .otherwise(F.array(F.lit(0), F.lit(1))))
-        .select("node", "phash", F.explode("steps").alias("step"), "day", "date")
+        .select("no", "phash", F.explode("steps").alias("step"), "day", "date")
         .withColumn("pool_day", F.coalesce(F.unix_date("date") + F.col("step"), F.lit(UNDATED)))
     )
-    left = _keyed(forward.select("node", "phash", "step", "pool_day"), distance, equal_blocks)
-    own_day = F.coalesce(F.unix_date(day), F.lit(UNDATED)).alias("pool_day")
-    right = _keyed(nodes.select("node", "phash", own_day), distance, equal_blocks)
-    once = (F.col("a.step") > 0) | (F.col("a.node") < F.col("b.node"))
-    return _edges(candidates(left, right, ["pool_day", "chosen", "key"], distance, once & _near(distance, equal_blocks)))
+    left = _keyed(forward.select("no", "phash", "step", "pool_day"), distance, equal_blocks)
+    right = _keyed(nodes.select("no", "phash", own_day), distance, equal_blocks)
+    once = (F.col("a.step") > 0) | (F.col("a.no") < F.col("b.no"))
+    return _named(_edges(candidates(left, right, ["pool_day", "chosen", "key"], distance, once & _near(distance))), nodes)
 
 
 def window_edges(
@@ -133,19 +154,21 @@ def window_edges(
     Time is cut into buckets as long as the window, so a partner lies in the same or a neighbouring
     bucket; the exact bound is the residual.
     """
+    nodes = _numbered(nodes)
     dated = nodes.where(F.col("day") != NO_DATE).withColumn(
         "bucket",
         F.floor(F.unix_date(F.col("day").cast("date")) / F.lit(max(1, window_days))),
     )
+    equal_blocks = _enough_blocks(dated, ["bucket"], distance, equal_blocks)
     span = F.make_dt_interval(F.lit(window_days))
     low = dated.where("first_low IS NOT NULL").withColumn(
         "near_bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1))
     )
     left = _keyed(
-        low.select("node", "phash", "day", "first_low", "last_low", F.col("near_bucket").alias("bucket")), distance, equal_blocks
+        low.select("no", "phash", "first_low", "last_low", F.col("near_bucket").alias("bucket")), distance, equal_blocks
     )
     right = _keyed(
-        dated.select("node", "phash", "day", "first_at", "last_at", "bucket"), distance, equal_blocks
+        dated.select("no", "phash", "first_at", "last_at", "bucket"), distance, equal_blocks
     )
     # Nearest low row of a to nearest row of b, whichever side b lies on.
     after = (F.col("b.first_at") >= F.col("a.last_low")) & (
@@ -157,21 +180,23 @@ def window_edges(
     overlap = (F.col("b.first_at") < F.col("a.last_low")) & (
         F.col("b.last_at") > F.col("a.first_low")
     )
-    other = (F.col("a.node") != F.col("b.node")) & (after | before | overlap)
-    joined = candidates(left, right, ["bucket", "chosen", "key"], distance, other & _near(distance, equal_blocks))
+    other = (F.col("a.no") != F.col("b.no")) & (after | before | overlap)
+    joined = candidates(left, right, ["bucket", "chosen", "key"], distance, other & _near(distance))
     # Two low nodes can find each other from both sides.
-    return _edges(joined).select(
-        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance"
+    once = _edges(joined).select(
+        F.least("src_no", "dst_no").alias("src_no"), F.greatest("src_no", "dst_no").alias("dst_no"), "distance"
     ).distinct()
+    return _named(once, nodes)
 
 
 def all_edges(assets: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLOCKS) -> DataFrame:
     """Near pairs over the whole table, between distinct fingerprints; the copies of one
     fingerprint are tied by ``copy_edges``."""
-    nodes = assets.where("phash IS NOT NULL").groupBy("phash").agg(F.min("asset_id").alias("node"))
-    keyed = _keyed(nodes, distance, equal_blocks)
-    once = F.col("a.node") < F.col("b.node")
-    return _edges(candidates(keyed, keyed, ["chosen", "key"], distance, once & _near(distance, equal_blocks)))
+    nodes = _numbered(assets.where("phash IS NOT NULL").groupBy("phash").agg(F.min("asset_id").alias("node")))
+    equal_blocks = _enough_blocks(nodes, [], distance, equal_blocks)
+    keyed = _keyed(nodes.select("no", "phash"), distance, equal_blocks)
+    once = F.col("a.no") < F.col("b.no")
+    return _named(_edges(candidates(keyed, keyed, ["chosen", "key"], distance, once & _near(distance))), nodes)
 
 
 def copy_edges(assets: DataFrame) -> DataFrame:
