@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.session import bind
 
 FAR = 99  # distance when either fingerprint is missing
-PROFILE_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
 def hamming64(a: Column, b: Column) -> Column:
@@ -53,19 +57,37 @@ def fingerprint64(vector: Column) -> Column:
 def token_profile(text: Column) -> Column:
     """64 counts of the whole text's words, each word hashed to one of 64 symbols.
 
-    Stays in one row and one stage: no explode of the words and no shuffle.
+    Stays in one row and one stage: no explode of the words and no shuffle. Whole Arrow batches go to Python, where a word
+    that a task has met before is not hashed again; an expression would hash every word and count each symbol apart.
     """
-    words = F.split(text, "[ \n\r\t]+", -1)
-    marks = F.array_join(
-        F.transform(words, lambda w: F.substring(F.base64(F.unhex(F.md5(w.cast("binary")))), 1, 1)), ""
-    )
-    symbols = F.array(*[F.lit(c) for c in PROFILE_SYMBOLS])
-    return bind(
-        marks,
-        lambda m: F.transform(
-            symbols, lambda c: (F.length(m) - F.length(F.replace(m, c, F.lit("")))).cast("double")
-        ),
-    )
+    return _profiles()(text.cast("binary"))
+
+
+def _profiles():
+    @F.pandas_udf("array<double>")
+    def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        split = re.compile(rb"[ \n\r\t]+").split
+        symbol: dict[bytes, int] = {}
+
+        def profile(content: bytes | None) -> list[float] | None:
+            if content is None:
+                return None
+            if len(symbol) > 200_000:
+                symbol.clear()
+            counts = [0.0] * 64
+            for word, n in Counter(split(content)).items():
+                place = symbol.get(word)
+                if place is None:
+                    place = hashlib.md5(word, usedforsecurity=False).digest()[0] >> 2  # the first base64 digit
+                    if len(word) <= 64:
+                        symbol[word] = place
+                counts[place] += n
+            return counts
+
+        for contents in batches:
+            yield contents.map(profile)
+
+    return profiles
 
 
 def second_difference_variance(vector: Column) -> Column:
