@@ -295,3 +295,39 @@ def test_probes_are_fewer_than_pairs_in_large_pools():
         assert hashing.probe_cost(14, blocks, pool) < pool / 2
     assert hashing.blocks_for_pool(14, 1_000_000) < hashing.blocks_for_pool(14, 1000)
     assert hashing.probe_radii(14, 6) == [2, 2, 2, 1, 1, 1]
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_multiplied_rows_are_not_broadcast(spark):
+    from gleaner.operators import moments
+
+    df = spark.createDataFrame(random_rows(11, 80), SCHEMA)
+    assert "BroadcastHashJoin [day" not in joins(moments.day_candidates(df)) and "SortMergeJoin [day" in joins(moments.day_candidates(df))
+    keyed = neardup._keyed(df.select("asset_id", "phash").where("phash IS NOT NULL"), 6, 2)
+    found = joins(neardup.candidates(keyed, keyed, ["chosen", "key"], 6, neardup._near(6)))
+    assert "SortMergeJoin [chosen" in found and "BroadcastHashJoin [chosen#" not in found.split("SortMergeJoin [chosen")[0]
+
+
+def test_larger_pools_get_longer_keys(spark):
+    pools = spark.range(100_000).select((F.col("id") % 2).alias("pool"))
+    assert neardup._enough_blocks(pools, ["pool"], 6, 1) == 2
+    assert neardup._enough_blocks(spark.range(3_000_000), [], 6, 2) == 3
+    assert neardup._enough_blocks(spark.range(0), [], 6, 2) == 2
+
+
+def test_profile_counts_every_word(spark):
+    import base64
+    import hashlib
+    import re
+
+    from gleaner.functions import hashing
+
+    texts = ["", " a  b\ta ", "é x\x0by\n\nz", None, "w " * 3000]
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    marks = lambda t: [base64.b64encode(hashlib.md5(w.encode()).digest())[:1].decode() for w in re.split("[ \n\r\t]+", t)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", hashing.token_profile(F.col("t")).alias("p"))
+    got = {r["i"]: r["p"] for r in rows.collect()}
+    assert got == {i: None if t is None else [float(marks(t).count(d)) for d in digits] for i, t in enumerate(texts)}
