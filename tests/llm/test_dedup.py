@@ -36,6 +36,22 @@ def test_fragments_round_trip():
     assert (back == np.unique(values)).all()
 
 
+def test_rows_of_many_chunks_are_sent_in_one_fragment_a_hash_range():
+    """The pipeline's rows come to the substring stage in hash order, so that a block holds rows of every chunk."""
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    values[1000:1500] = values[:500]
+    chunks = rng.integers(0, 700, 4000).astype(np.int32)
+    sent = list(exchange.fragments(chunks, values, 9, 64))
+    assert len(sent) <= 9
+    back = collections.Counter()
+    for _, least, blob in sent:
+        v, n, c = exchange.decode(blob)
+        back.update({(int(a), int(b) + least): int(k) for a, b, k in zip(v, c, n)})
+    assert back == collections.Counter(zip(values.tolist(), chunks.tolist()))
+    assert list(exchange.fragments(chunks[:0], values[:0], 9, 64)) == []
+
+
 def brute_removals(rows, width=13):
     first = {}
     for i, t in rows:
