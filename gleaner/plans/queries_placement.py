@@ -308,7 +308,8 @@ def a13_book_summary(spark, sf_dir):
 
 def raw_documents(spark, sf_dir):
     """Spread documents with all accepted cell forms: null, id text, object with and without extras."""
-    rows = placements(spark, sf_dir).withColumn("cell", F.col("cell").cast("int"))
+    # One shuffle of the plain rows serves the pages, their spread and what groups by spread again.
+    rows = placements(spark, sf_dir).withColumn("cell", F.col("cell").cast("int")).repartition("spread")
     crop = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("crop_w").alias("w"), F.when(F.col("crop_h") >= 0.7, F.col("crop_h")).alias("h"))
     obj = F.to_json(
         F.struct(
@@ -346,10 +347,10 @@ FLAT_CTE = BOOK_CTE + """, flat AS (
   FROM placements)"""
 
 
-def _flat(rows):
+def _flat(rows, *more):
     return rows.select(
         "spread", "side", "page_number", "template", F.col("cell").cast("bigint").alias("cell"), "asset_id", "fit",
-        F.round("crop.w", 6).alias("crop_w"), F.col("dpi_override.dpi").alias("override_dpi"), "caption",
+        F.round("crop.w", 6).alias("crop_w"), F.col("dpi_override.dpi").alias("override_dpi"), "caption", *more,
     )
 
 
@@ -369,9 +370,8 @@ def s9_normalize_cell(spark, sf_dir):
 SELECT spread, side, page_number, template, cell, asset_id, fit, crop_w, override_dpi, caption,
   sha1(concat_ws('/', spread, side, cell)) AS cell_id FROM flat""")
 def s10_migrate_book(spark, sf_dir):
-    once = book.migrate_book(raw_documents(spark, sf_dir))
-    rows = book.flatten_book(book.parse_spreads(once))
-    return _flat(rows).withColumn("cell_id", F.sha1(F.concat_ws("/", "spread", "side", "cell").cast("binary"))).join(
-        rows.select("spread", "side", F.col("cell").cast("bigint").alias("cell"), F.col("cell_id").alias("kept_id")),
-        ["spread", "side", "cell"],
-    ).where("kept_id = cell_id").drop("kept_id")
+    rows = book.flatten_book(book.parse_spreads(book.migrate_book(raw_documents(spark, sf_dir))))
+    made = F.sha1(F.concat_ws("/", "spread", "side", "cell").cast("binary"))
+    return _flat(rows.where(F.col("cell_id") == made), "cell_id").select(
+        "spread", "side", "cell", "page_number", "template", "asset_id", "fit", "crop_w", "override_dpi", "caption", "cell_id"
+    )

@@ -161,6 +161,14 @@ def test_cells_in_every_form(spark):
     assert book.migrate_book(once).collect() == once.collect()
 
 
+def test_migration_reads_its_documents_once(spark):
+    """The ids are compared in the row that has them; a join of the rows with themselves shuffled and built all of it twice."""
+    from gleaner.plans.queries_placement import s10_migrate_book
+
+    plan = s10_migrate_book(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation [" in line]) == 2  # lineitem and orders
+
+
 def test_leak_rules(spark):
     text = "see /home/anna/x and c:\\users\\me\\y\nmail bob@real.org or a@example.com\n" + "0" * 39 + "1 " + "a" * 40 + "\n06_anna savannah 2020-02-02"
     rows = spark.createDataFrame([("doc.txt", text), ("pic.PNG", "x"), ("bin.txt", "a\0b"), ("LICENSE", "Copyright Anna\nAnna")], "path string, text string")
