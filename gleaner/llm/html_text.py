@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -166,10 +167,12 @@ def vectors(blocks: list[Block]) -> np.ndarray:
             paths[key] = row = np.clip(row, -2, 2)
         out[k, :PATH] = row
         words = block.text.lower().split()
-        for w in words[:: max(1, len(words) // 32)]:
+        sums = [0.0] * WORDS
+        for w, times in Counter(words).items():
             i, sign = _slot(w, WORDS)
-            out[k, PATH + i] += sign
-        out[k, PATH : PATH + WORDS] /= np.sqrt(min(len(words), 32))
+            sums[i] += sign * times
+        # a sum of n words is as wide as the root of n; of more than 32 words the mean counts, at the width of 32
+        out[k, PATH : PATH + WORDS] = np.array(sums) * (1 / np.sqrt(len(words)) if len(words) <= 32 else np.sqrt(32) / len(words))
         n = len(block.text)
         out[k, -SIZES:] = (
             min(np.log1p(n) / 5, 2), min(np.log1p(len(words)) / 4, 2), block.linked / max(n, 1), min(len(block.path), 12) / 6,

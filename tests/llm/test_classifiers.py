@@ -161,6 +161,15 @@ def test_blocks_of_broken_pages():
     assert read("<ul><li>a<li>b</ul>c") == ["a", "b", "c"]
 
 
+def test_every_word_of_a_long_block_is_in_its_vector():
+    words = [f"w{k:03d}" for k in range(200)]
+    plain = html_text.vectors([html_text.Block(" ".join(words))])[0]
+    for place in range(200):
+        other = html_text.vectors([html_text.Block(" ".join(words[:place] + ["zzzz"] + words[place + 1 :]))])[0]
+        if html_text._slot("zzzz", html_text.WORDS) != html_text._slot(words[place], html_text.WORDS):
+            assert (other != plain).any(), place
+
+
 def test_labeller_gradients_match_differences():
     rng = np.random.default_rng(4)
     net = html_text.Labeller()
