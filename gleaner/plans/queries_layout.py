@@ -188,13 +188,7 @@ def order_items(spark, sf_dir):
 def l3_full_pages(spark, sf_dir):
     # A cell side half way between two roundings moves the score by some tenths, so it is compared in points of 50.
     found = layout.strip_candidates(layout.page_rows(order_items(spark, sf_dir)), layout.default_recipes(spark))
-    feature = F.aggregate(
-        F.zip_with("arranged", "cells", lambda a, c: geometry.contained_size(a["px_w"], a["px_h"], c["w"], c["h"])["w"]
-                   * geometry.contained_size(a["px_w"], a["px_h"], c["w"], c["h"])["h"] * a["weight"]),
-        F.lit(0.0), lambda total, x: total + x,
-    )
-    score = F.col("area") + feature * 0.6 - F.col("deficit") * 50.0
-    return found.select("page", F.col("recipe_no").cast("bigint").alias("recipe_no"), F.col("k").cast("bigint").alias("k"), F.round(score / 50 + 0.0123456, 0).alias("points"))
+    return found.select("page", F.col("recipe_no").cast("bigint").alias("recipe_no"), F.col("k").cast("bigint").alias("k"), F.round(F.col("score") / 50 + 0.0123456, 0).alias("points"))
 
 
 PAIR_CTE = CAND_CTE + """, gr AS (SELECT *, eb - ey AS gh, (er - ex) / (eb - ey) AS ga FROM best_order),

@@ -238,6 +238,18 @@ def test_strip_orders_are_few():
     assert all(o == sorted(o) for o in layout.strip_orders([5])) and len({tuple(o) for o in layout.strip_orders([2, 3, 2])}) == 210
 
 
+def test_alike_deals_are_scored_once_and_their_score_is_that_of_the_placed_cells(spark):
+    assert [len(layout._deals(s)) for s in ((3, 4), (1, 2, 2, 2), (2, 2, 2), (1, 3, 3))] == [35, 105, 15, 70]
+    rng = random.Random(5)
+    for title in (False, True):
+        sizes = [(rng.choice([400, 900, 1500, 3000]), rng.choice([500, 1000, 2200, 3100]), rng.choice([0, 1, 3])) for _ in range(7)]
+        for row in layout.strip_candidates(page_of(spark, sizes, title), layout.default_recipes(spark)).collect():
+            pairs = list(zip(row["arranged"], row["cells"]))
+            fit = lambda a, c: min(c["w"], c["h"] * a["ratio"]) * min(c["h"], c["w"] / a["ratio"])
+            feature = sum(a["weight"] * fit(a, c) for a, c in pairs)
+            assert row["score"] == pytest.approx(row["area"] + 0.6 * feature - 50 * row["deficit"], abs=0.05)
+
+
 def test_title_keeps_the_first_item_first(spark):
     found = layout.recipe_candidates(page_of(spark, [(400, 400, 0), (3000, 2000, 3)], True), layout.default_recipes(spark), layout.order_table(spark, 4))
     assert {r["arranged"][0]["asset_id"] for r in found.collect()} == {"a0"}
