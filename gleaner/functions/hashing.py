@@ -213,10 +213,15 @@ def part_masks(max_distance: int) -> Column:
     """
     return F.array(*[
         F.struct(F.lit(i).alias("part"), F.lit(_signed(mask)).cast("bigint").alias("mask"))
-        for i, mask in enumerate(_interleaved(max_distance + 1))
+        for i, mask in enumerate(part_bits(max_distance))
     ])
 
 
+def part_bits(max_distance: int) -> list[int]:
+    """The masks of ``part_masks`` as plain numbers."""
+    return _interleaved(max_distance + 1)
+
+
 def first_shared_part(a: Column, b: Column, max_distance: int) -> Column:
     """The lowest part on which both words agree, null if there is none."""
     diff = a.bitwiseXOR(b)

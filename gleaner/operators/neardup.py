@@ -2,23 +2,27 @@
 
 Rows are first grouped to nodes, one per (fingerprint, day). All rows of a node are one component
 already, so a group of copies costs one aggregation with map-side combine instead of all its pairs.
-Edges are searched between nodes only, by equi-joins on pigeonhole block keys. Buckets are counted first:
-one that holds more than ``HOT_BUCKET`` rows, such as a common pattern or the pool of rows without a date, is split
-by a second pigeonhole over the whole fingerprint, so it is neither one task nor all its pairs.
+Edges are searched between nodes only. A shuffle on pigeonhole block keys brings the nodes of a bucket to one task, which
+compares them in arrays; one that holds more than ``HOT_BUCKET`` rows, such as a common pattern or the pool of rows
+without a date, is split by a second pigeonhole over the whole fingerprint, so not all its pairs are compared.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.config import DedupConfig
-from gleaner.functions import hashing
+from gleaner.functions import hashing, nearwords
 from gleaner.functions.dates import NO_DATE, day_key, wall_time
 from gleaner.operators.numbering import number_rows
-from gleaner.session import cut_lineage, release
+from gleaner.session import cut_lineage, release, workers_import
 
 
 # Block keys for the declared number of different fingerprints (``DedupConfig.expected_fingerprints``).
@@ -27,6 +31,10 @@ EQUAL_BLOCKS = hashing.equal_blocks_for(DedupConfig.max_distance, DedupConfig.ex
 HOT_BUCKET = 1024
 # Words that a key may bring together by chance on average; a pool with more per key gets longer keys.
 CHANCE = 16
+# The same where a task compares a bucket's words in arrays (``near_pairs``): a comparison costs far less than a key there.
+CHANCE_IN_ARRAYS = 128
+# Keyed rows that a task holds at once, by its number of partitions.
+ROWS_A_TASK = 2_000_000
 UNDATED = -(10**9)  # day number of the pool of rows without a date
 
 
@@ -65,10 +73,10 @@ def _named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _enough_blocks(pools: DataFrame, pool: list, distance: int, least: int) -> int:
-    """At least ``least`` blocks, more where the largest pool would bring more than ``CHANCE`` words under one key."""
+def _enough_blocks(pools: DataFrame, pool: list, distance: int, least: int, chance: int = CHANCE) -> int:
+    """At least ``least`` blocks, more where the largest pool would bring more than ``chance`` words under one key."""
     largest = pools.groupBy(*pool).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(least, hashing.equal_blocks_for(distance, largest // CHANCE))
+    return max(least, hashing.equal_blocks_for(distance, largest // chance))
 
 
 def _keyed(nodes: DataFrame, distance: int, equal_blocks: int) -> DataFrame:
@@ -94,7 +102,8 @@ def _parted(rows: DataFrame, hot: DataFrame, bucket: list[str], distance: int) -
 
 
 def candidates(left: DataFrame, right: DataFrame, bucket: list[str], distance: int, keep: Column) -> DataFrame:
-    """Pairs of keyed rows, as a and b, that share a bucket, in hot buckets also a part, and satisfy ``keep``."""
+    """Pairs of keyed rows, as a and b, that share a bucket, in hot buckets also a part, and satisfy ``keep``: the join for
+    a rule of the caller's own. Near pairs alone are found at less cost by ``near_pairs``."""
     hot = hot_buckets(right, bucket)
     keys = [*bucket, "part", "part_key"]
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
@@ -106,97 +115,133 @@ def candidates(left: DataFrame, right: DataFrame, bucket: list[str], distance: i
 
 
 def _near(distance: int) -> Column:
-    """Join residual: within the distance. A pair may share several keys; ``_edges`` keeps it once. A rule here that says which
-    key counts would make the join's loop too long for the JVM to compile, and every candidate is tested in that loop."""
+    """Join residual of ``candidates``: within the distance. A pair may share several keys."""
     return hashing.hamming64(F.col("a.phash"), F.col("b.phash")) <= distance
 
 
-def _edges(joined: DataFrame) -> DataFrame:
-    return joined.select(
-        F.col("a.no").alias("src_no"),
-        F.col("b.no").alias("dst_no"),
-        hashing.hamming64(F.col("a.phash"), F.col("b.phash")).alias("distance"),
-    ).distinct()
+def near_pairs(words: DataFrame, distance: int, equal_blocks: int) -> DataFrame:
+    """(src_no, dst_no, distance) of near words of one pool of which one seeks and the other may be found.
 
+    Input: pool, no, phash, role (``nearwords``). A pair comes once for each pool and each pair of its rows there: only the
+    lowest blocks on which its words agree count, so no distinct is needed over what several keys bring together.
+    """
+    spark = words.sparkSession
+    workers_import(spark)
+    blocks = [((1 << width) - 1) << shift for shift, width in hashing.block_bounds(distance + equal_blocks)]
+    keys = math.comb(len(blocks), equal_blocks)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words.count() * keys / ROWS_A_TASK))
+    keyed = _keyed(words.select("pool", "no", "phash", "role"), distance, equal_blocks)
+    find = _finder(distance, equal_blocks, blocks, hashing.part_bits(distance), HOT_BUCKET)
+    return keyed.repartition(tasks, "pool", "chosen", "key").mapInArrow(find, "src_no bigint, dst_no bigint, distance int")
+
+
+def _finder(distance: int, equal_blocks: int, blocks: list[int], parts: list[int], hot: int):
+    names = ["src_no", "dst_no", "distance"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        del batches
+        pool, no, phash, role, chosen, key = (
+            rows[c].to_numpy() for c in ("pool", "no", "phash", "role", "chosen", "key")
+        )
+        order, starts = nearwords.bucket_order(role, key, pool, chosen)
+        no, word, role, chosen = no[order], phash[order].view(np.uint64), role[order], chosen[order]
+        for i, j in nearwords.gathered(nearwords.near_in_runs(word, role, starts, distance, hot, parts)):
+            diff = word[i] ^ word[j]
+            once = (nearwords.lowest_shared(diff, blocks, equal_blocks) == chosen[i]) & (no[i] != no[j])
+            if once.any():
+                apart = np.bitwise_count(diff[once]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (no[i[once]], no[j[once]], apart)], names)
 
-def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLOCKS) -> DataFrame:
-    """Node pairs that share a pool of three consecutive days around a day that has rows.
+    return find
 
-    Days apart 0 or 1 always share one; days two apart share one only if the middle day has rows.
-    """
-    nodes = _numbered(nodes)
+
+def _day_pairs(nodes: DataFrame, distance: int, equal_blocks: int) -> DataFrame:
+    """Pairs of numbered nodes for ``day_edges``."""
     days = nodes.select("day").distinct()
     day = F.col("day").try_cast("date")
-    own_day = F.coalesce(F.unix_date(day), F.lit(UNDATED)).alias("pool_day")
-    equal_blocks = _enough_blocks(nodes, [own_day], distance, equal_blocks)
-    # The side that looks forward: same day, next day, and the day after where a middle day exists.
+    own_day = F.coalesce(F.unix_date(day), F.lit(UNDATED))
+    equal_blocks = _enough_blocks(nodes, [own_day.alias("pool")], distance, equal_blocks, CHANCE_IN_ARRAYS)
+    # A node looks forward: into its own day, where it may be found, the next, and the day after where a middle day exists.
     middle = days.select(F.date_sub(F.col("day").try_cast("date"), 1).alias("before_middle"))
-    forward = (
+    words = (
         nodes.withColumn("date", day)
         .join(middle, F.col("date") == F.col("before_middle"), "left")
         .withColumn("steps", F.when(F.col("date").isNull(), F.array(F.lit(0)))
                     .when(F.col("before_middle").isNotNull(), F.array(F.lit(0), F.lit(1), F.lit(2)))
                     .otherwise(F.array(F.lit(0), F.lit(1))))
-        .select("no", "phash", F.explode("steps").alias("step"), "day", "date")
-        .withColumn("pool_day", F.coalesce(F.unix_date("date") + F.col("step"), F.lit(UNDATED)))
+        .select("no", "phash", F.explode("steps").alias("step"), own_day.alias("own"))
+        .select("no", "phash", (F.col("own") + F.col("step")).alias("pool"),
+                F.when(F.col("step") == 0, nearwords.BOTH).otherwise(nearwords.SEEKS).cast("tinyint").alias("role"))
     )
-    left = _keyed(forward.select("no", "phash", "step", "pool_day"), distance, equal_blocks)
-    right = _keyed(nodes.select("no", "phash", own_day), distance, equal_blocks)
-    once = (F.col("a.step") > 0) | (F.col("a.no") < F.col("b.no"))
-    return _named(_edges(candidates(left, right, ["pool_day", "chosen", "key"], distance, once & _near(distance))), nodes)
+    return near_pairs(words, distance, equal_blocks)
 
 
-def window_edges(
-    nodes: DataFrame, distance: int = 6, window_days: int = 30, equal_blocks: int = EQUAL_BLOCKS
-) -> DataFrame:
-    """Pairs of a low-confidence node and any dated node within the window, bounds included.
+def day_edges(nodes: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLOCKS) -> DataFrame:
+    """Node pairs that share a pool of three consecutive days around a day that has rows.
 
-    Time is cut into buckets as long as the window, so a partner lies in the same or a neighbouring
-    bucket; the exact bound is the residual.
+    Days apart 0 or 1 always share one; days two apart share one only if the middle day has rows.
     """
     nodes = _numbered(nodes)
+    return _named(_day_pairs(nodes, distance, equal_blocks), nodes)
+
+
+def _window_pairs(nodes: DataFrame, distance: int, window_days: int, equal_blocks: int) -> DataFrame:
+    """Pairs of numbered nodes for ``window_edges``."""
     dated = nodes.where(F.col("day") != NO_DATE).withColumn(
         "bucket",
         F.floor(F.unix_date(F.col("day").cast("date")) / F.lit(max(1, window_days))),
     )
-    equal_blocks = _enough_blocks(dated, ["bucket"], distance, equal_blocks)
-    span = F.make_dt_interval(F.lit(window_days))
-    low = dated.where("first_low IS NOT NULL").withColumn(
-        "near_bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1))
-    )
-    left = _keyed(
-        low.select("no", "phash", "first_low", "last_low", F.col("near_bucket").alias("bucket")), distance, equal_blocks
+    equal_blocks = _enough_blocks(dated, ["bucket"], distance, equal_blocks, CHANCE_IN_ARRAYS)
+    low = F.col("first_low").isNotNull()
+    steps = F.when(low, F.array(F.lit(0), F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
+    words = dated.withColumn("step", F.explode(steps)).select(
+        "no", "phash", (F.col("bucket") + F.col("step")).cast("int").alias("pool"),
+        F.when(F.col("step") != 0, nearwords.SEEKS).when(low, nearwords.BOTH).otherwise(nearwords.FOUND).cast("tinyint").alias("role"),
     )
-    right = _keyed(
-        dated.select("no", "phash", "first_at", "last_at", "bucket"), distance, equal_blocks
-    )
-    # Nearest low row of a to nearest row of b, whichever side b lies on.
-    after = (F.col("b.first_at") >= F.col("a.last_low")) & (
-        F.col("b.first_at") <= F.col("a.last_low") + span
-    )
-    before = (F.col("b.last_at") <= F.col("a.first_low")) & (
-        F.col("b.last_at") >= F.col("a.first_low") - span
-    )
-    overlap = (F.col("b.first_at") < F.col("a.last_low")) & (
-        F.col("b.last_at") > F.col("a.first_low")
-    )
-    other = (F.col("a.no") != F.col("b.no")) & (after | before | overlap)
-    joined = candidates(left, right, ["bucket", "chosen", "key"], distance, other & _near(distance))
-    # Two low nodes can find each other from both sides.
-    once = _edges(joined).select(
+    found = near_pairs(words, distance, equal_blocks).select(
         F.least("src_no", "dst_no").alias("src_no"), F.greatest("src_no", "dst_no").alias("dst_no"), "distance"
-    ).distinct()
-    return _named(once, nodes)
+    ).distinct()  # two low nodes can find each other from both sides
+    bounds = ["first_at", "last_at", "first_low", "last_low"]
+    side = lambda name: nodes.select(F.col("no").alias(f"{name}_no"), F.struct(*bounds).alias(name))
+    span = F.make_dt_interval(F.lit(window_days))
+
+    def within(a: str, b: str) -> Column:
+        """Nearest low row of a to nearest row of b, whichever side b lies on."""
+        first_at, last_at, first_low, last_low = F.col(f"{b}.first_at"), F.col(f"{b}.last_at"), F.col(f"{a}.first_low"), F.col(f"{a}.last_low")
+        after = (first_at >= last_low) & (first_at <= last_low + span)
+        before = (last_at <= first_low) & (last_at >= first_low - span)
+        overlap = (first_at < last_low) & (last_at > first_low)
+        return F.coalesce(after | before | overlap, F.lit(False))
+
+    return (
+        found.join(side("src"), "src_no").join(side("dst"), "dst_no")
+        .where(within("src", "dst") | within("dst", "src")).select("src_no", "dst_no", "distance")
+    )
+
+
+def window_edges(
+    nodes: DataFrame, distance: int = 6, window_days: int = 30, equal_blocks: int = EQUAL_BLOCKS
+) -> DataFrame:
+    """Pairs of a low-confidence node and any dated node within the window, bounds included.
+
+    Time is cut into buckets as long as the window, so a partner lies in the same or a neighbouring
+    bucket; the exact bound is tested on the near pairs.
+    """
+    nodes = _numbered(nodes)
+    return _named(_window_pairs(nodes, distance, window_days, equal_blocks), nodes)
 
 
 def all_edges(assets: DataFrame, distance: int = 6, equal_blocks: int = EQUAL_BLOCKS) -> DataFrame:
     """Near pairs over the whole table, between distinct fingerprints; the copies of one
     fingerprint are tied by ``copy_edges``."""
     nodes = _numbered(assets.where("phash IS NOT NULL").groupBy("phash").agg(F.min("asset_id").alias("node")))
-    equal_blocks = _enough_blocks(nodes, [], distance, equal_blocks)
-    keyed = _keyed(nodes.select("no", "phash"), distance, equal_blocks)
-    once = F.col("a.no") < F.col("b.no")
-    return _named(_edges(candidates(keyed, keyed, ["chosen", "key"], distance, once & _near(distance))), nodes)
+    equal_blocks = _enough_blocks(nodes, [], distance, equal_blocks, CHANCE_IN_ARRAYS)
+    words = nodes.select("no", "phash", F.lit(0).alias("pool"), F.lit(nearwords.BOTH).cast("tinyint").alias("role"))
+    return _named(near_pairs(words, distance, equal_blocks), nodes)
 
 
 def copy_edges(assets: DataFrame) -> DataFrame:
@@ -291,12 +336,14 @@ def duplicate_groups(
     assets: DataFrame, distance: int = 6, window_days: int = 30, equal_blocks: int = EQUAL_BLOCKS
 ) -> DataFrame:
     """(asset_id, dup_group): every row gets a group named by its smallest id, alone or not."""
-    nodes = cut_lineage(fingerprint_nodes(assets))
-    edges = day_edges(nodes, distance, equal_blocks).unionByName(window_edges(nodes, distance, window_days, equal_blocks))
-    components = connected_components(edges)
+    # Numbers in the order of the ids: the smallest number of a component is that of its smallest id.
+    nodes = cut_lineage(number_rows(fingerprint_nodes(assets), ["node"], "no"))
+    edges = _day_pairs(nodes, distance, equal_blocks).unionByName(_window_pairs(nodes, distance, window_days, equal_blocks))
+    components = connected_components(edges.select(F.col("src_no").alias("src"), F.col("dst_no").alias("dst")))
+    roots = nodes.select(F.col("no").alias("component"), F.col("node").alias("root"))
     named = (
-        nodes.join(components, nodes.node == components.id, "left")
-        .select("phash", "day", F.coalesce("component", "node").alias("root"))
+        nodes.join(components.withColumnRenamed("id", "no").join(roots, "component"), "no", "left")
+        .select("phash", "day", F.coalesce("root", "node").alias("root"))
     )
     keyed = assets.select("asset_id", "phash", day_key(F.col("best_datetime")).alias("day"))
     # Few keys, many rows: AQE splits a hot (phash, day) on the row side of this join.

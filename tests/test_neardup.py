@@ -331,3 +331,41 @@ def test_profile_counts_every_word(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", hashing.token_profile(F.col("t")).alias("p"))
     got = {r["i"]: r["p"] for r in rows.collect()}
     assert got == {i: None if t is None else [float(marks(t).count(d)) for d in digits] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("hot", [2, 30, 10**9])
+def test_near_words_in_runs_against_all_pairs(hot):
+    import numpy as np
+
+    from gleaner.functions import nearwords
+
+    rng = random.Random(hot)
+    sizes = [1, 2, 40, 300, 700]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    word = np.array([rng.choice([0, (1 << 64) - 1, 0xF0F0 << 30]) ^ sum(1 << b for b in rng.sample(range(64), 4)) for _ in key], dtype=np.uint64)
+    role = np.array([rng.choice([1, 2, 3]) for _ in key], dtype=np.int8)
+    order, starts = nearwords.bucket_order(role, key)
+    w, r, k = word[order], role[order], key[order]
+    got = [
+        (min(i, j), max(i, j)) for a, b in nearwords.gathered(nearwords.near_in_runs(w, r, starts, 6, hot, hashing.part_bits(6)))
+        for i, j in zip(a.tolist(), b.tolist())
+    ]
+    want = {
+        (i, j) for i in range(len(w)) for j in range(i + 1, len(w))
+        if k[i] == k[j] and (r[i] & 1 and r[j] & 2 or r[i] & 2 and r[j] & 1) and int(w[i] ^ w[j]).bit_count() <= 6
+    }
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_a_pool_is_shuffled_once_and_gives_each_pair_once(spark):
+    rows = random_rows(12, 80)
+    words = spark.createDataFrame(rows, SCHEMA).where("phash IS NOT NULL").dropDuplicates(["phash"]).select(
+        F.monotonically_increasing_id().alias("no"), "phash", F.lit(0).alias("pool"), F.lit(3).cast("tinyint").alias("role")
+    ).cache()
+    found = neardup.near_pairs(words, 6, 2)
+    assert "MapInArrow" in joins(found) and "SortMergeJoin" not in joins(found) and joins(found).count("Exchange hashpartitioning(pool") == 1
+    flat = [(r["no"], r["phash"]) for r in words.collect()]
+    want = {(a, b, distance(x, y)) for a, x in flat for b, y in flat if a < b and distance(x, y) <= 6}
+    got = [(min(a, b), max(a, b), d) for a, b, d in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    words.unpersist()
